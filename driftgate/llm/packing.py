@@ -35,6 +35,8 @@ END_ID = 1
 #: Characters whose lower case is one character regardless of neighbours and that need no composing.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xffĀ-įĲ-ňŊ-ſ‐-‧‰-⁞€]*")
 MOST_PIECES = 800_000
+#: Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on.
+BYTE_SIGNS = {b: chr(0x100 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 def default_tokenizer() -> str:
@@ -56,8 +58,14 @@ class Encoder:
         whole = self.whole
         #: whether this tokenizer encodes pieces between white space alone, and commas and full stops apart from words
         self.by_piece = whole("Über and, so. on") == b"".join(map(whole, ("über", "and", ",", "so", ".", "on")))
+        #: words of letters skip the tokenizer's outer steps where its model alone gives the same ids
+        self.word = self._by_model if all(self._by_model(w) == whole(w) for w in ("and", "über", "ñandú", "a", "straße", "œuvre", "tion")) else whole
         self.pieces = _Pieces(self)
 
+    def _by_model(self, word: str) -> bytes:
+        tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))
+        return np.array([t.id for t in tokens], self.kind).tobytes()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
@@ -80,7 +88,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if (mark := self.marks.get(piece[-1])) and (word := piece[:-1]).isalpha():
             return self[word] + mark
-        self[piece] = ids = self.encoder.whole(piece)
+        self[piece] = ids = self.encoder.word(piece) if piece.isalpha() else self.encoder.whole(piece)
         return ids
 
 
