@@ -8,7 +8,7 @@ is covered; the others go on to the next radius, at most to a segment's width, w
 
 Rows with the same code are one class with its k + 1 least ids, which suffice for any answer, so a
 vector with many copies is met once. Bucket contents come in chunks of bounded size; a chunk is
-verified in one sweep and returns at most k + 1 codes, so candidates are never rows of a join.
+verified in one sweep and returns at most k + 1 classes (by distance and least id), so candidates are never rows of a join.
 
 Rank ties are broken by id. Defined results: null vectors, null elements and null ids take no part
 in the index or as queries; vectors are read in their first 64 elements, missing ones count as not
@@ -50,30 +50,30 @@ def _segment(code: str, width: int) -> Column:
 
 
 def _verify(keep: int):
-    """(query, codes, sizes) -> the nearest codes of each batch and query."""
+    """(query, codes, least ids, sizes) -> the nearest classes of each batch and query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            query, codes, sizes = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            query, codes = batch.column(0).to_numpy(), batch.column(1)
+            least, weight = (batch.column(k).flatten().to_numpy() for k in (2, 3))
             length = np.diff(codes.offsets.to_numpy())
             row = np.repeat(np.arange(len(query)), length)
             flat = codes.flatten().to_numpy()
             away = np.bitwise_count((flat ^ query[row]).view(np.uint64)).astype(np.int32)
-            weight = sizes.flatten().to_numpy()
             _, group = np.unique(query, return_inverse=True)
             group = group[row]
-            order = np.lexsort((flat, away, group))
-            g, c = group[order], flat[order]
+            order = np.lexsort((least, away, group))
+            g, c = group[order], least[order]
             first = np.concatenate(([True], g[1:] != g[:-1]))
-            new = first | np.concatenate(([True], c[1:] != c[:-1]))  # a code met in two segments counts once
+            new = first | np.concatenate(([True], c[1:] != c[:-1]))  # a class met in two segments counts once
             order, g = order[new], g[new]
             first = np.concatenate(([True], g[1:] != g[:-1]))
             start = np.flatnonzero(first)
             nth = np.arange(len(g)) - np.repeat(start, np.diff(np.concatenate((start, [len(g)]))))
             pick = order[nth < keep]
-            yield pa.RecordBatch.from_arrays([pa.array(query[row[pick]]), pa.array(away[pick]), pa.array(flat[pick]), pa.array(weight[pick])], names=["query", "distance", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(query[row[pick]]), pa.array(away[pick]), pa.array(least[pick]), pa.array(weight[pick])], names=["query", "distance", "least", "n"])
 
     return run
 
@@ -86,14 +86,14 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec_i
     # row_number with a limit is cut down before the exchange, so a class sends k + 1 rows a task
     least = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     few = coded.withColumn("nth", least).where(F.col("nth") <= k + 1)
-    classes = stored(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count(F.lit(1)).cast("int").alias("n")), "classes")
+    classes = stored(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("least"), F.count(F.lit(1)).cast("int").alias("n")), "classes")
     segments = SEGMENTS_FEW if classes.count() <= FEW else SEGMENTS_MANY
     width = BITS // segments
     all_segments = F.explode(F.sequence(F.lit(0), F.lit(segments - 1)))
-    listed = classes.select("code", "n", all_segments.alias("segment")).withColumn("value", _segment("code", width))
+    listed = classes.select("code", "least", "n", all_segments.alias("segment")).withColumn("value", _segment("code", width))
     extent = F.broadcast(listed.groupBy("segment", "value").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))  # a row for each segment and value: 2,048, or 262,144 with wide segments
     chunked = listed.join(extent, ["segment", "value"]).withColumn("chunk", F.pmod(F.xxhash64("code"), F.col("chunks")))
-    index = stored(chunked.groupBy("segment", "value", "chunk").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("sizes")), "segments")
+    index = stored(chunked.groupBy("segment", "value", "chunk").agg(F.collect_list("code").alias("codes"), F.collect_list("least").alias("leasts"), F.collect_list("n").alias("sizes")), "segments")
     asked = coded.where("asks").select(F.col("code").alias("query")).distinct()
     active, done, best = stored(asked, "queries"), [], None
     spread = 0
@@ -101,10 +101,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec_i
         masks = [sum(1 << b for b in bits) for bits in combinations(range(width), spread)]
         probes = active.select("query", all_segments.alias("segment")).withColumn("own", _segment("query", width))
         probes = probes.select("query", "segment", F.explode(F.array(*(F.lit(m) for m in masks))).alias("mask"), "own").select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).cast("int").alias("value"))
-        met = probes.join(index, ["segment", "value"]).select("query", "codes", "sizes").mapInArrow(_verify(k + 1), "query long, distance int, code long, n int")
+        met = probes.join(index, ["segment", "value"]).select("query", "codes", "leasts", "sizes").mapInArrow(_verify(k + 1), "query long, distance int, least long, n int")
         if best is not None:
             met = met.unionByName(best.select("query", F.inline("top")))
-        top = F.slice(F.array_sort(F.collect_set(F.struct("distance", "code", "n"))), 1, k + 1)
+        top = F.slice(F.array_sort(F.collect_set(F.struct("distance", "least", "n"))), 1, k + 1)
         ranked = met.groupBy("query").agg(top.alias("top"))
         # distance of the (k + 1)th row, the query row itself among them
         reached = F.expr(f"aggregate(top, named_struct('seen', 0, 'd', {BITS + 1}), (a, x) -> if(a.seen > {k}, a, named_struct('seen', a.seen + x.n, 'd', if(a.seen + x.n > {k}, x.distance, {BITS + 1}))))").getField("d")
@@ -121,8 +121,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec_i
     answers = done[0]
     for more in done[1:]:
         answers = answers.unionByName(more)
-    flat = answers.select(F.col("query").alias("code"), F.posexplode("top").alias("place", "x")).select("code", "x.distance", F.col("x.code").alias("other"))
-    found = flat.join(classes.select(F.col("code").alias("other"), "ids"), "other")
+    flat = answers.select(F.col("query").alias("code"), F.posexplode("top").alias("place", "x")).select("code", "x.distance", "x.least")
+    found = flat.join(classes.select("least", "ids"), "least")
     found = found.groupBy("code").agg(F.array_sort(F.flatten(F.collect_list(F.expr("transform(ids, i -> named_struct('distance', distance, 'id', i))")))).alias("near"))
     asking = coded.where("asks").select("id", "code")
     own = attach(asking, ["code"], found.select("code", F.expr(f"slice(near, 1, {k + 1})").alias("near")), by=["id"])
