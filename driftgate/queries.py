@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from driftgate.plans import capture_queries, drift_queries
+
+QUERIES = {**drift_queries.QUERIES, **capture_queries.QUERIES}
+SQL = {**drift_queries.SQL, **capture_queries.SQL}
