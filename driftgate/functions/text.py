@@ -32,10 +32,6 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def is_blank(text: Column) -> Column:
-    return F.length(stripped(F.coalesce(text, F.lit("")))) == 0
-
-
 def normalised(text: Column, ignore_whitespace: bool = True, ignore_case: bool = False) -> Column:
     """Text for comparison: spaces collapsed, and lower-cased if asked."""
     if ignore_whitespace:
@@ -43,22 +39,16 @@ def normalised(text: Column, ignore_whitespace: bool = True, ignore_case: bool =
     return F.lower(F.replace(text, F.lit("ß"), F.lit("ss"))) if ignore_case else text
 
 
-def refusal_phrase(text: Column, patterns: tuple[str, ...] = REFUSALS) -> Column:
-    """The first pattern that opens the text, or null."""
-    head = F.substring(stripped(F.coalesce(text, F.lit(""))), 1, REFUSAL_CHARS)
-    return F.coalesce(*(F.when(head.rlike(f"(?i){p}"), F.lit(p)) for p in patterns))
+def refusal_phrase(trimmed: Column, patterns: tuple[str, ...] = REFUSALS) -> Column:
+    """The first pattern that opens a trimmed text, or null; one search settles most texts."""
+    head = F.substring(trimmed, 1, REFUSAL_CHARS)
+    return F.when(head.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.coalesce(*(F.when(head.rlike(f"(?i){p}"), F.lit(p)) for p in patterns)))
 
 
 def was_cut_off(finish: Column) -> Column:
     return F.coalesce(F.lower(finish).isin(*CUT_OFF), F.lit(False))
 
 
-def length_change(before: Column, after: Column) -> Column:
-    """Relative change of trimmed length; null where there was nothing before."""
-    a, b = F.length(stripped(before)), F.length(stripped(after))
-    return F.when(a > 0, F.abs(b - a) / a)
-
-
 def within(before: Column, after: Column, tolerance: Column) -> Column:
     """Relative closeness, absolute where the first value is about zero."""
     gap, scale = F.abs(after - before), F.abs(before)

@@ -46,13 +46,23 @@ def completed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({n: F.lit(None).cast(t) for n, t in COLUMNS.items() if n not in pairs.columns})
 
 
-def _result(name: str, status: Column, severity: Column | str = "blocking", message: Column | str = "", evidence: Column | None = None) -> Column:
-    lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    failed = status == "fail"
-    return F.struct(
-        F.lit(name).alias("check"), status.alias("status"), F.when(failed, lit(severity)).otherwise("info").alias("severity"),
-        F.when(failed, lit(message)).otherwise("").alias("message"), (F.when(failed, evidence) if evidence is not None else F.lit(None)).cast("string").alias("evidence"),
-    )
+@dataclass(frozen=True)
+class Check:
+    """A check of one's own is one of these too: its status, and what is said where it fails."""
+
+    status: Column
+    severity: Column | str = "blocking"
+    message: Column | str = ""
+    evidence: Column | None = None
+
+    def result(self, name: str) -> Column:
+        """The struct, read from the column ``s_<name>`` that holds the status."""
+        lit = lambda x: F.lit(x) if isinstance(x, str) else x
+        failed = F.col(f"s_{name}") == "fail"
+        return F.struct(
+            F.lit(name).alias("check"), F.col(f"s_{name}").alias("status"), F.when(failed, lit(self.severity)).otherwise("info").alias("severity"),
+            F.when(failed, lit(self.message)).otherwise("").alias("message"), (F.when(failed, self.evidence) if self.evidence is not None else F.lit(None)).cast("string").alias("evidence"),
+        )
 
 
 def _status(*rules: tuple[Column, str], otherwise: str = "pass") -> Column:
@@ -63,7 +73,7 @@ def _status(*rules: tuple[Column, str], otherwise: str = "pass") -> Column:
 
 
 def _empty(side: str) -> Column:
-    return text.is_blank(F.col(f"{side}_text")) & (F.coalesce(F.size(f"{side}_tools"), F.lit(0)) <= 0)
+    return (F.length(f"{side}_trim") == 0) & (F.coalesce(F.size(f"{side}_tools"), F.lit(0)) <= 0)
 
 
 def multiset_difference(a: Column, b: Column) -> Column:
@@ -91,25 +101,23 @@ def _named(diff: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(diff), lambda x: F.concat(x["name"], F.lit(" x"), x["n"].cast("string"))), ", ")
 
 
-def results(s: Settings) -> dict[str, Column]:
-    """One struct column a check, over a pair with its facts."""
+def results(s: Settings) -> dict[str, Check]:
+    """Every check, over a pair with its facts."""
     b, c = F.col("base_text"), F.col("cand_text")
     base, cand = F.col("base_facts"), F.col("cand_facts")
-    out: dict[str, Column] = {}
-    out["empty_output"] = _result("empty_output", _status((_empty("base"), "skip"), (_empty("cand"), "fail")), message="nothing came back where there was content before")
-    out["truncation"] = _result("truncation", _status((~text.was_cut_off(F.col("cand_finish")), "pass"), (text.was_cut_off(F.col("base_finish")), "skip"), otherwise="fail"), message="the output was cut off", evidence=F.col("cand_finish"))
-    phrase = text.refusal_phrase(c, s.refusals)
-    out["refusal"] = _result("refusal", _status((F.col("forbid_refusal") == False, "skip"), (phrase.isNull(), "pass"), (text.refusal_phrase(b, s.refusals).isNotNull(), "skip"), otherwise="fail"), message="the candidate declines the task", evidence=phrase)  # noqa: E712
-    out["json_parse"] = _result("json_parse", _status((~base["is_json"], "skip"), (~cand["is_json"], "fail")), message="the baseline is JSON, the candidate is not", evidence=F.substring(c, 1, 160))
+    out: dict[str, Check] = {}
+    out["empty_output"] = Check(_status((_empty("base"), "skip"), (_empty("cand"), "fail")), message="nothing came back where there was content before")
+    out["truncation"] = Check(_status((~text.was_cut_off(F.col("cand_finish")), "pass"), (text.was_cut_off(F.col("base_finish")), "skip"), otherwise="fail"), message="the output was cut off", evidence=F.col("cand_finish"))
+    phrase = F.col("cand_refusal")
+    out["refusal"] = Check(_status((F.col("forbid_refusal") == False, "skip"), (phrase.isNull(), "pass"), (F.col("base_refusal").isNotNull(), "skip"), otherwise="fail"), message="the candidate declines the task", evidence=phrase)  # noqa: E712
+    out["json_parse"] = Check(_status((~base["is_json"], "skip"), (~cand["is_json"], "fail")), message="the baseline is JSON, the candidate is not", evidence=F.substring(c, 1, 160))
     schema = F.coalesce("expect_schema", F.get_json_object("response_format", "$.json_schema.schema"))
     problem = F.col("schema_problem")
-    out["json_schema"] = _result("json_schema", _status((schema.isNull(), "skip"), (~cand["is_json"], "fail"), (problem.isNotNull(), "fail")), severity=F.when(cand["is_json"] & problem.startswith("!"), "warning").otherwise("blocking"), message=F.when(~cand["is_json"], "the candidate is not JSON, so the schema can't hold").otherwise(F.concat(F.lit("schema: "), problem)))
+    out["json_schema"] = Check(_status((schema.isNull(), "skip"), (~cand["is_json"], "fail"), (problem.isNotNull(), "fail")), severity=F.when(cand["is_json"] & problem.startswith("!"), "warning").otherwise("blocking"), message=F.when(~cand["is_json"], "the candidate is not JSON, so the schema can't hold").otherwise(F.concat(F.lit("schema: "), problem)))
     declared = F.col("expect_fields").isNotNull()
     expected = F.coalesce(F.array_distinct("expect_fields"), base["fields"])
     missing, added = F.array_sort(F.array_except(expected, cand["fields"])), F.array_sort(F.array_except(cand["fields"], expected))
-    out["required_fields"] = _result(
-        "required_fields",
-        _status((~declared & (F.lit(not s.infer_fields) | ~base["is_json"]), "skip"), (F.size(expected) == 0, "skip"), (~cand["is_json"] | (F.size(missing) > 0) | (F.size(added) > 0), "fail")),
+    out["required_fields"] = Check(_status((~declared & (F.lit(not s.infer_fields) | ~base["is_json"]), "skip"), (F.size(expected) == 0, "skip"), (~cand["is_json"] | (F.size(missing) > 0) | (F.size(added) > 0), "fail")),
         severity=F.when(cand["is_json"] & (F.size(missing) == 0), "warning").otherwise("blocking"),
         message=F.when(~cand["is_json"], "the candidate is not JSON, so no field can be there").when(F.size(missing) > 0, F.concat(F.lit("fields gone: "), F.array_join(F.slice(missing, 1, 10), ", "))).otherwise(F.concat(F.lit("fields that are new: "), F.array_join(F.slice(added, 1, 10), ", "))),
         evidence=F.to_json(F.struct(missing.alias("missing"), added.alias("added"))),
@@ -118,29 +126,30 @@ def results(s: Settings) -> dict[str, Column]:
     lost, extra = multiset_difference(wanted, _tool_names("cand")), multiset_difference(_tool_names("cand"), wanted)
     reshaped = ~_shapes("base").eqNullSafe(_shapes("cand"))
     undeclared = F.col("expect_tools").isNull() & F.lit(not s.infer_tools)
-    out["tool_calls"] = _result(
-        "tool_calls",
-        _status((undeclared | ((F.size(wanted) == 0) & (F.size(_tool_names("cand")) == 0)), "skip"), ((F.size(lost) > 0) | (F.size(extra) > 0) | reshaped, "fail")),
+    out["tool_calls"] = Check(_status((undeclared | ((F.size(wanted) == 0) & (F.size(_tool_names("cand")) == 0)), "skip"), ((F.size(lost) > 0) | (F.size(extra) > 0) | reshaped, "fail")),
         severity=F.when(F.size(lost) > 0, "blocking").otherwise("warning"),
         message=F.when(F.size(lost) > 0, F.concat(F.lit("calls gone: "), _named(lost))).when(F.size(extra) > 0, F.concat(F.lit("calls that are new: "), _named(extra))).otherwise("calls have other arguments"),
     )
-    same = lambda x: text.normalised(F.coalesce(x, F.lit("")), s.ignore_whitespace, s.ignore_case)
-    out["exact_match"] = _result("exact_match", _status((~F.coalesce("exact", F.lit(False)), "skip"), (same(b) != same(c), "fail")), message="the text must not change")
+    out["exact_match"] = Check(_status((~F.coalesce("exact", F.lit(False)), "skip"), (F.col("base_norm") != F.col("cand_norm"), "fail")), message="the text must not change")
     hit = F.col("pattern_result")
-    out["format_regex"] = _result("format_regex", _status((F.col("expect_regex").isNull(), "skip"), (hit != "hit", "fail")), severity=F.when(hit == "invalid", "warning").otherwise("blocking"), message=F.when(hit == "invalid", "check failed: the pattern is invalid").otherwise("the text lacks the format"), evidence=F.col("expect_regex"))
+    out["format_regex"] = Check(_status((F.col("expect_regex").isNull(), "skip"), (hit != "hit", "fail")), severity=F.when(hit == "invalid", "warning").otherwise("blocking"), message=F.when(hit == "invalid", "check failed: the pattern is invalid").otherwise("the text lacks the format"), evidence=F.col("expect_regex"))
     tolerance = F.coalesce("expect_numbers", F.lit(s.numeric_tolerance).cast("double"))
     shared = F.filter(F.map_entries(base["numbers"]), lambda x: F.map_contains_key(cand["numbers"], x["key"]))
     moved = F.filter(shared, lambda x: ~text.within(x["value"], cand["numbers"][x["key"]], tolerance))
-    out["numeric_tolerance"] = _result("numeric_tolerance", _status((tolerance.isNull() | (tolerance < 0) | ~base["is_json"] | ~cand["is_json"] | (F.size(base["numbers"]) == 0), "skip"), (F.size(moved) > 0, "fail")), message="numbers moved beyond the tolerance", evidence=F.array_join(F.slice(F.transform(moved, lambda x: x["key"]), 1, 8), ", "))
+    out["numeric_tolerance"] = Check(_status((tolerance.isNull() | (tolerance < 0) | ~base["is_json"] | ~cand["is_json"] | (F.size(base["numbers"]) == 0), "skip"), (F.size(moved) > 0, "fail")), message="numbers moved beyond the tolerance", evidence=F.array_join(F.slice(F.transform(moved, lambda x: x["key"]), 1, 8), ", "))
     limit = F.coalesce("expect_length", F.lit(s.length_ratio))
-    change = text.length_change(F.coalesce(b, F.lit("")), F.coalesce(c, F.lit("")))
-    out["length_delta"] = _result("length_delta", _status((limit <= 0, "skip"), (change.isNull(), "skip"), (change > limit, "fail")), severity=s.length_severity, message="the length changed beyond the limit", evidence=change.cast("string"))
+    before = F.length("base_trim")
+    change = F.when(before > 0, F.abs(F.length("cand_trim") - before) / before)
+    out["length_delta"] = Check(_status((limit <= 0, "skip"), (change.isNull(), "skip"), (change > limit, "fail")), severity=s.length_severity, message="the length changed beyond the limit", evidence=change.cast("string"))
     return out
 
 
 def with_facts(pairs: DataFrame, settings: Settings, json: bool = True) -> DataFrame:
     """Facts that need more than an expression; without ``json`` no Python runs at all."""
     pairs = completed(pairs)
+    trim = {f"{x}_trim": text.stripped(F.coalesce(F.col(f"{x}_text"), F.lit(""))) for x in ("base", "cand")}
+    pairs = pairs.withColumns(trim)
+    pairs = pairs.withColumns({f"{x}_norm": text.normalised(F.col(f"{x}_trim"), settings.ignore_whitespace, settings.ignore_case) for x in ("base", "cand")} | {f"{x}_refusal": text.refusal_phrase(F.col(f"{x}_trim"), settings.refusals) for x in ("base", "cand")})
     if not json:
         none = F.struct(F.lit(False).alias("is_json"), F.array().cast("array<string>").alias("fields"), F.lit(None).cast("map<string,double>").alias("numbers"), F.lit(None).cast("map<string,string>").alias("leaves"))
         return pairs.withColumns({"base_facts": none, "cand_facts": none, "schema_problem": F.lit(None).cast("string"), "pattern_result": F.lit(None).cast("string")})
@@ -152,7 +161,7 @@ def with_facts(pairs: DataFrame, settings: Settings, json: bool = True) -> DataF
 PROSE = ("empty_output", "truncation", "refusal", "tool_calls", "exact_match", "length_delta")
 
 
-def evaluate(pairs: DataFrame, settings: Settings | None = None, json: bool = True, extra: dict[str, Column] | None = None, only: tuple[str, ...] = ()) -> DataFrame:
+def evaluate(pairs: DataFrame, settings: Settings | None = None, json: bool = True, extra: dict[str, Check] | None = None, only: tuple[str, ...] = ()) -> DataFrame:
     """``pairs`` with ``checks``, an array of results in order; ``extra`` adds checks of one's own.
 
     ``json=False`` says that outputs are prose without declared formats: checks that would be
@@ -162,8 +171,11 @@ def evaluate(pairs: DataFrame, settings: Settings | None = None, json: bool = Tr
     every = {**results(s), **(extra or {})}
     wanted = set(only or every) & set(every if json else (*PROSE, *(extra or {})))
     every = {n: c for n, c in every.items() if n in wanted}
-    run = F.array(*(c for n, c in every.items() if n not in s.disabled))
+    every = {n: c for n, c in every.items() if n not in s.disabled}
+    # each status is a column of its own, so that it is worked out once a row
+    rows = with_facts(pairs, s, json).withColumns({f"s_{n}": c.status for n, c in every.items()})
+    run = F.array(*(c.result(n) for n, c in every.items()))
     kept = F.filter(run, lambda x: ~F.coalesce(F.array_contains(F.col("skip_checks"), x["check"]), F.lit(False)))
     if s.warnings_break:
         kept = F.transform(kept, lambda x: x.withField("severity", F.when(x["severity"] == "warning", "blocking").otherwise(x["severity"])))
-    return with_facts(pairs, s, json).withColumn("checks", kept)
+    return rows.withColumn("checks", kept).drop(*(f"s_{n}" for n in every))

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgate.functions import text
 from driftgate.operators import checks
 
 #: From best to worst.
@@ -15,28 +14,26 @@ ORDER = ("equivalent", "acceptable", "unverified", "broken", "error")
 REGRESSIONS = ("broken", "error")
 
 
-def equivalent(s: checks.Settings) -> Column:
-    """Same normalised text and same calls, whatever their order and ids."""
-    same = lambda x: text.normalised(F.coalesce(F.col(x), F.lit("")), s.ignore_whitespace, s.ignore_case)
-    return (same("base_text") == same("cand_text")) & checks.tool_signature("base").eqNullSafe(checks.tool_signature("cand"))
+def equivalent() -> Column:
+    """Same normalised text and same calls, whatever their order and ids, of a checked pair."""
+    return (F.col("base_norm") == F.col("cand_norm")) & checks.tool_signature("base").eqNullSafe(checks.tool_signature("cand"))
 
 
-def classify(checked: DataFrame, settings: checks.Settings | None = None) -> DataFrame:
+def classify(checked: DataFrame) -> DataFrame:
     """Adds ``verdict``, ``reason`` and ``regression``; ``judged`` may hold a judge's verdict or null."""
-    s = settings or checks.Settings()
     failing = F.filter("checks", lambda x: x["status"] == "fail")
     blocking = F.filter(failing, lambda x: x["severity"] == "blocking")
     lost = F.col("error").isNotNull() | F.col("cand_text").isNull()
     judged = F.when(F.col("judged").isin("equivalent", "acceptable", "broken"), F.col("judged"))
-    verdict = F.when(lost, "error").when(F.size(blocking) > 0, "broken").when(equivalent(s), "equivalent").otherwise(F.coalesce(judged, F.lit("unverified")))
+    verdict = F.when(lost, "error").when(F.size(blocking) > 0, "broken").when(equivalent(), "equivalent").otherwise(F.coalesce(judged, F.lit("unverified")))
     first = lambda xs: F.nullif(F.get(xs, F.lit(0))["message"], F.lit(""))
     reason = F.coalesce(F.nullif("error", F.lit("")), F.when(lost, "no candidate"), first(blocking), first(failing), F.nullif("judge_note", F.lit("")), F.lit(""))
     return checked.withColumns({"verdict": verdict, "reason": reason}).withColumn("regression", F.col("verdict").isin(*REGRESSIONS))
 
 
-def residual(checked: DataFrame, settings: checks.Settings | None = None) -> DataFrame:
+def residual(checked: DataFrame) -> DataFrame:
     """Cases that only a judge can settle, filtered before any judge is called."""
-    return classify(checked.withColumn("judged", F.lit(None).cast("string")), settings).where("verdict = 'unverified'")
+    return classify(checked.withColumn("judged", F.lit(None).cast("string"))).where("verdict = 'unverified'")
 
 
 def with_judgements(checked: DataFrame, judgements: DataFrame, least_confidence: float = 0.34) -> DataFrame:
