@@ -55,16 +55,21 @@ def tool_calls(raw: Column) -> Column:
     """Calls of an array of variants: bad items go, arguments become an object's JSON text."""
     named = F.filter(raw, lambda t: F.coalesce(F.try_variant_get(t, F.lit("$.function.name"), "string"), F.try_variant_get(t, F.lit("$.name"), "string")).isNotNull())
 
-    def one(t: Column) -> Column:
+    def read(t: Column) -> Column:
         args = F.coalesce(F.try_variant_get(t, F.lit("$.function.arguments"), "variant"), F.try_variant_get(t, F.lit("$.arguments"), "variant"))
-        plain = F.coalesce(F.schema_of_variant(args) == "STRING", F.lit(False))
-        text = F.when(plain, F.try_variant_get(args, F.lit("$"), "string")).otherwise(F.to_json(args))
-        parsed = jsonfacts.is_json(text)
-        whole = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
-        arguments = F.when(text.isNull() | (F.trim(text) == ""), "{}").when(~parsed, F.to_json(F.struct(text.alias("_raw")))).when(whole, text).otherwise(F.concat(F.lit('{"_value":'), text, F.lit("}")))
-        return F.struct(F.coalesce(F.try_variant_get(t, F.lit("$.function.name"), "string"), F.try_variant_get(t, F.lit("$.name"), "string")).alias("name"), arguments.alias("arguments"))
+        name = F.coalesce(F.try_variant_get(t, F.lit("$.function.name"), "string"), F.try_variant_get(t, F.lit("$.name"), "string"))
+        # a string comes as it is, an object as its JSON text
+        return F.struct(name.alias("name"), F.trim(F.try_variant_get(args, F.lit("$"), "string")).alias("text"))
 
-    return F.transform(named, one)
+    def kinds(t: Column) -> Column:
+        strict = F.try_parse_json(F.concat(F.lit("["), t["text"], F.lit("]")))
+        return F.struct(t["name"].alias("name"), t["text"].alias("text"), F.schema_of_variant(strict).alias("kind"))
+
+    def wrapped(t: Column) -> Column:
+        whole = F.when(F.coalesce(t["text"], F.lit("")) == "", "{}").when(t["kind"].isNull(), F.to_json(F.struct(t["text"].alias("_raw")))).when(t["kind"].startswith("ARRAY<OBJECT"), t["text"])
+        return F.struct(t["name"].alias("name"), whole.otherwise(F.concat(F.lit('{"_value":'), t["text"], F.lit("}"))).alias("arguments"))
+
+    return F.transform(F.transform(F.transform(named, read), kinds), wrapped)
 
 
 def _messages(raw: Column) -> Column:
@@ -95,7 +100,7 @@ def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
         own = F.when(_is(at, "STRING"), _get(at)).when(_get(f"{at}.text", "variant").isNotNull(), _get(f"{at}.text")).when(chat, F.coalesce(F.when(_is(f"{at}.choices[0].message.content", "STRING"), _get(f"{at}.choices[0].message.content")), F.lit(""))).when(_is(f"{at}.content", "ARRAY"), joined)
         text.append(F.when(here, own))
         finish.append(F.when(here, F.coalesce(_get(f"{at}.choices[0].finish_reason"), _get(f"{at}.stop_reason"), _get(f"{at}.finish_reason"))))
-        calls.append(F.when(here, F.coalesce(tool_calls(_get(f"{at}.choices[0].message.tool_calls", "array<variant>")), tool_calls(_get(f"{at}.tool_calls", "array<variant>")))))
+        calls.append(F.when(here, F.coalesce(_get(f"{at}.choices[0].message.tool_calls", "array<variant>"), _get(f"{at}.tool_calls", "array<variant>"))))
         model.append(F.when(here, _get(f"{at}.model")))
     flat = F.col("shape") == "flat"
     text.append(F.when(flat, F.coalesce(F.when(_is("$.completion", "STRING"), _get("$.completion")), F.when(_is("$.response_text", "STRING"), _get("$.response_text")), F.when(_get("$.completion", "variant").isNull(), F.lit("")))))
@@ -106,13 +111,15 @@ def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
     params = {"proxy": "$.request", "explicit": "$.input", "flat": "$", "native": "$.input.params"}
     number = lambda n, kind: F.coalesce(*(F.when((F.col("shape") == s) & ~_is(f"{at}.{n}", "BOOLEAN") & ~_is(f"{at}.{n}", "STRING"), _get(f"{at}.{n}", kind)) for s, at in params.items()))
     rows = rows.withColumns({
-        "base_text": F.coalesce(*text), "base_finish": F.coalesce(*finish), "base_tools": F.coalesce(*calls), "reference": F.coalesce(named, made), "tags": tags,
+        "base_text": F.coalesce(*text), "base_finish": F.coalesce(*finish), "base_tools": tool_calls(F.coalesce(*calls)), "reference": F.coalesce(named, made), "tags": tags,
         "temperature": number("temperature", "double"), "max_tokens": F.coalesce(number("max_tokens", "bigint"), number("max_completion_tokens", "bigint")), "seed": number("seed", "bigint"), "given_id": F.when(_is("$.case_id", "STRING"), _get("$.case_id")),
     })
     bad_role = F.exists("messages", lambda m: ~F.coalesce(m["role"].isin(*ROLES), F.lit(False)))
     chars = F.length(F.coalesce("base_text", F.lit(""))) + F.coalesce(F.aggregate("messages", F.lit(0), lambda n, m: n + F.length(m["content"])), F.lit(0))
     reason = F.when(F.col("shape") == "not JSON", "not JSON").when(F.col("shape") == "unknown", "unrecognised shape").when(F.col("messages").isNull(), "messages must be a list").when(F.size("messages") == 0, "no messages").when(bad_role, "unsupported role").when(F.col("base_text").isNull(), "no output text").when((F.col("shape") != "native") & (chars > MOST_CHARS), "payload too large")
-    return rows.withColumn("reason", reason).drop("v")
+    # a filter on the reason must not be pushed below, where it would parse every line once more for
+    # each mention of a field; a generator of one row stops it
+    return rows.withColumn("reason", F.explode(F.array(reason))).drop("v")
 
 
 def accepted(rows: DataFrame, tags: tuple[str, ...] = (), reference: str | None = None) -> DataFrame:
