@@ -8,6 +8,7 @@ import textwrap
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MISSING = "∅"
 
@@ -54,7 +55,7 @@ def described(change: DataFrame, width: int = 60) -> DataFrame:
     return change.withColumn("line", F.concat("path", F.lit(": "), short("before"), F.lit(" → "), short("after")))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def prose_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """Unified diff of texts wrapped at 88 columns, two lines of context."""
 

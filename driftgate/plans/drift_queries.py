@@ -146,7 +146,7 @@ _CHANGES = """changes AS (
   FULL JOIN (SELECT * FROM leaves WHERE side = 'cand') c ON b.case_id = c.case_id AND b.path = c.path
   WHERE b.path IS NULL OR c.path IS NULL OR b.atom <> c.atom)"""
 _TOOLS = """l AS (SELECT l_orderkey, 'ship_' || lower(l_linestatus) || lower(l_returnflag) AS name, l_partkey, l_linenumber,
-        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, lower(l_linestatus) || lower(l_returnflag)) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
 b AS (SELECT l_orderkey::VARCHAR AS case_id, l_orderkey % 4 AS m, k, n, name, l_partkey || '-' || l_linenumber AS args FROM l),
 c AS (SELECT case_id, m, k, name, CASE WHEN m = 3 AND k = 1 THEN '0' ELSE args END AS args FROM b WHERE NOT (m = 1 AND k = n)
       UNION ALL SELECT DISTINCT case_id, m, n + 1, 'notify', '1' FROM b WHERE m = 2),
