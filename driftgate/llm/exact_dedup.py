@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftgate.llm.work import attach, salted, table
+from driftgate.llm.work import fresh, salted, table
 
 SLOTS = 4
 MAX_MOVES = 200
@@ -177,12 +177,13 @@ def live_digests(inserted: DataFrame, deleted: DataFrame | None = None, text: st
 
 def keep_exact(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each text, all columns kept. Rows match by id and text digest."""
+    names = [fresh(docs, n) for n in ("dedup_key", "dedup_sha", "dedup_turn")]
     key, sha = F.coalesce(F.col("doc_id"), F.lit(-(2**63))), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    kept = exact_dedup(docs).where("kept").select(key.alias("_key"), F.col("text_sha256").alias("_sha"))
-    held = docs.withColumn("_key", key).withColumn("_sha", sha).join(kept, ["_key", "_sha"], "left_semi")
+    kept = exact_dedup(docs).where("kept").select(key.alias(names[0]), F.col("text_sha256").alias(names[1]))
+    held = docs.withColumn(names[0], key).withColumn(names[1], sha).join(kept, names[:2], "left_semi")
     # a repeated row matches its one kept entry as often as it is there; the join has dealt it already
-    turn = F.row_number().over(Window.partitionBy("_key", "_sha").orderBy(F.lit(0)))
-    return held.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    turn = F.row_number().over(Window.partitionBy(*names[:2]).orderBy(F.lit(0)))
+    return held.withColumn(names[2], turn).where(F.col(names[2]) == 1).select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgate.llm.work import held_out, stable_order, stored, table
+from driftgate.llm.work import fresh, held_out, stable_order, stored, table
 
 MOST_LABELLED, MOST_TRAIN_CHARS = 4000, 20_000
 BUCKETS, MOST_STEPS = 2**13, 40
@@ -71,6 +71,8 @@ class Model:
     shape: np.ndarray
 
     def posterior(self, buckets: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        if not self.domains:
+            return np.zeros(0)
         z = shape @ self.shape
         if len(buckets):
             z = z + self.words[buckets].sum(0) / np.sqrt(len(buckets))
@@ -142,22 +144,23 @@ def posteriors(docs: DataFrame, model: Model) -> DataFrame:
     return stored(found.select("doc_id", "tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(model.domains))), "posteriors")
 
 
-def _rate(domains: list[str], steps: list[np.ndarray], most: float) -> Column:
+def _rate(columns: list[str], steps: list[np.ndarray], most: float) -> Column:
+    """Rate as an expression of the posterior columns: every past step, each cut to the bounds."""
     rate = F.lit(1.0)
     for g in steps:
-        move = sum((F.col(f"p_{d}") * float(x) for d, x in zip(domains, g, strict=True)), F.lit(0.0))
+        move = sum((F.col(c) * float(x) for c, x in zip(columns, g, strict=True)), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), rate - move))
     return rate
 
 
-def fit_rates(found: DataFrame, domains: list[str], weights: dict[str, float], most: float, tokens: float | None = None) -> tuple[Column, list[float]]:
-    """Rate of a document as an expression of its posterior, and the largest relative error of each step.
+def fit_rates(found: DataFrame, domains: list[str], weights: dict[str, float], most: float, share: float = 1.0) -> tuple[list[np.ndarray], list[float]]:
+    """The steps that make a rate of a posterior, and the largest relative error before each.
 
-    ``tokens`` is the sum of the targets: by default that of all documents, or, where rates stop at
-    one, the most that the scarcest domain allows.
+    The targets add up to ``share`` of all tokens. Where bounds keep a domain from its target, the
+    least-squares compromise stands and the error says how far off it is.
     """
     if not domains:
-        return F.lit(1.0), []
+        return [], []
     w = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
     w = w / w.sum() if w.sum() else np.full(len(domains), 1 / len(domains))
     p = [F.col(f"p_{d}") for d in domains]
@@ -165,15 +168,14 @@ def fit_rates(found: DataFrame, domains: list[str], weights: dict[str, float], m
     have = np.array([first[k] or 0.0 for k in range(len(p))])
     a = np.array([first[k] or 0.0 for k in range(len(p), len(first))]).reshape(len(p), len(p))
     if not have.sum():
-        return F.lit(1.0), []
-    if tokens is None:
-        tokens = have.sum() if most > 1 else min(have.sum(), float((have[w > 0] / w[w > 0]).min()))
+        return [], []
+    tokens = share * have.sum()
     inverse = np.linalg.pinv(a, rcond=1e-9)
     steps: list[np.ndarray] = []
     errors = []
     for _ in range(MOST_STEPS):
         if steps:
-            rate = _rate(domains, steps, most)
+            rate = _rate([f"p_{d}" for d in domains], steps, most)
             got = np.array([x or 0.0 for x in found.agg(*(F.sum(rate * F.col("tokens") * x) for x in p)).first()])
         else:
             got = have
@@ -183,15 +185,15 @@ def fit_rates(found: DataFrame, domains: list[str], weights: dict[str, float], m
             break
         # nine digits: sums in another order must not change a rate
         steps.append(np.array([float(f"{x:.9g}") for x in inverse @ error]))
-    return _rate(domains, steps, most), errors
+    return steps, errors
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], most: float = 4.0) -> DataFrame:
     """doc_id, tokens, posteriors and the fitted rate of every document."""
     model = fit(docs, labels, domain)
     found = posteriors(docs, model)
-    rate, _ = fit_rates(found, model.domains, weights, most)
-    return found.withColumn("rate", rate)
+    steps, _ = fit_rates(found, model.domains, weights, most)
+    return found.withColumn("rate", _rate([f"p_{d}" for d in model.domains], steps, most))
 
 
 def drawn(doc_id: str, rate: str) -> Column:
@@ -203,16 +205,16 @@ def drawn(doc_id: str, rate: str) -> Column:
     return (F.floor(rate) + (uniform < F.col(rate) - F.floor(rate)).cast("long")).cast("long")
 
 
-def keep_mixed(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float]) -> DataFrame:
-    """``docs`` thinned to the target weights (rates at most one), all columns kept.
+def keep_mixed(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], share: float = 0.95) -> DataFrame:
+    """``docs`` thinned to the target weights (rates at most one, ``share`` of all tokens), all columns kept.
 
     The posterior is computed again beside the texts instead of joining the rates to them.
     """
     model = fit(docs, labels, domain)
-    rate, _ = fit_rates(posteriors(docs, model), model.domains, weights, 1.0)
+    steps, _ = fit_rates(posteriors(docs, model), model.domains, weights, 1.0, share)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
-    names = [f"p_{d}" for d in model.domains]
+    names = [fresh(docs, f"p_{d}") for d in model.domains]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +222,8 @@ def keep_mixed(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in p], pa.float64()) for k in range(len(names)))], names=[*batch.schema.names, *names])
 
     beside = docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"`{n}` double" for n in names)]))
-    return beside.withColumn("_rate", rate).where(drawn("doc_id", "_rate") > 0).select(*docs.columns)
+    rate = fresh(docs, "rate")
+    return beside.withColumn(rate, _rate(names, steps, 1.0)).where(drawn("doc_id", rate) > 0).select(*docs.columns)
 
 
 def label_domain() -> Column:
