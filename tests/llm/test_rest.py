@@ -140,3 +140,11 @@ def test_stage_handles_odd_rows(spark, name):
     odd = spark.createDataFrame([(1, None, None, None, None, "e"), (None, "a b", None, "s", 1, "e"), (3, "", "en", "s", 0, "e"), (4, "long " * 60_000, "en", "s", 9, "e"), (4, "long " * 60_000, "en", "s", 9, "e")], "doc_id long, text string, lang string, source string, n_chars long, _key string")
     got = dict(corpus_pipeline.STAGES)[name](spark, odd, sf)
     assert got.columns == odd.columns and got.count() >= 1
+
+
+def test_clear_removes_what_was_stored(spark):
+    table = work.stored(spark.range(5), "five")
+    assert table.count() == 5
+    work.clear(spark)
+    with pytest.raises(Exception, match="not exist|FILE_NOT_EXIST|PATH_NOT_FOUND|FileNotFound"):
+        spark.read.parquet(table.inputFiles()[0]).count()
