@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from driftgate.llm.work import held_out, stable_order, table
 
-MOST_TOXIC, MOST_CLEAN, MOST_TRAIN_CHARS = 2500, 3500, 20_000
+MOST_TOXIC, MOST_CLEAN, MOST_TRAIN_CHARS = 2000, 3000, 20_000
 BUCKETS, DIMS, WIDTHS, FILTERS = 2**15, 12, (1, 2, 3), 16
 LINE = 0.7
 LEAST_STEPS, EPOCHS, BATCH, RATE = 500, (3, 20), 32, 0.003
-COMMON, MOST_KEPT_WORDS = 1500, 400_000
+COMMON, MOST_KEPT_WORDS = 1500, 300_000
 LEAST_TEXTS, LEAST_Z = 3, 1.2
 #: A language whose rows no cut separates this well takes the threshold of all languages.
 LEAST_F1 = 0.6
@@ -100,17 +100,14 @@ class _Net:
         self.t = 0
         self.alive = np.zeros(BUCKETS, bool)
 
-    def start(self, held: list[np.ndarray], y: np.ndarray) -> frozenset[int]:
-        """Begin from what texts share, and return the hashes that are learned at all.
+    def start(self, every: np.ndarray, of_toxic: np.ndarray, hashes: np.ndarray, n: int, toxic: int) -> np.ndarray:
+        """Begin from what texts share, and return which hashes are learned at all.
 
-        Those are held by LEAST_TEXTS texts or more and tell the labels apart by LEAST_Z standard
-        errors, so no text is learned by heart and most words of a text need no embedding. One
-        dimension starts at that z score, and the first filter of each width looks at it alone.
+        ``every`` and ``of_toxic`` count the texts that hold a hash. Those are learned that
+        LEAST_TEXTS texts or more hold and that tell the labels apart by LEAST_Z standard errors, so
+        no text is learned by heart and most words of a text need no embedding. One dimension starts
+        at that z score, and the first filter of each width looks at it alone.
         """
-        n, toxic = len(y), float(y.sum())
-        hashes, place = np.unique(np.concatenate(held), return_inverse=True)
-        label = np.repeat(y, [len(h) for h in held])
-        every, of_toxic = np.bincount(place), np.bincount(place, weights=label)
         rate = every / n
         gap = of_toxic / max(1, toxic) - (every - of_toxic) / max(1, n - toxic)
         z = gap / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / max(1, toxic) + 1 / max(1, n - toxic)))
@@ -126,7 +123,7 @@ class _Net:
             self.p["filters"][offset : offset + width, 0, 0] = 1
             self.p["out"][w * FILTERS] = 1
             offset += width
-        return frozenset(hashes[keep].tolist())
+        return keep
 
     def vectors(self, used: np.ndarray, feats: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = first[used + 1] - first[used]
@@ -198,9 +195,18 @@ def train(rows: list[tuple[str, str | None, int]], seed: int = 7) -> Model:
     y = np.array([r[2] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return Model(*(net.p[k] for k in ("embed", "filters", "bias", "out")), 0.0, constant=float(y.mean()) if len(y) else 0.0)
-    texts = [words(r[0]) for r in rows]
     number: dict[str, int] = {}
-    coded = [np.array([number.setdefault(w, len(number)) for w in t] or [number.setdefault("", len(number))], np.int64) for t in texts]
+    coded = [np.array([number.setdefault(w, len(number)) for w in words(r[0]) or [""]], np.int32) for r in rows]
+    flat, size = array("I"), array("B")
+    for w in number:
+        own = features(w)
+        flat.extend(own)
+        size.append(len(own))
+    all_size = np.frombuffer(size, np.uint8).astype(np.int64)
+    all_first = np.concatenate(([0], np.cumsum(all_size)))
+    hashes, place = np.unique(np.frombuffer(flat, np.uint32), return_inverse=True)
+    place = place.astype(np.int32)
+    del flat, size
     rng = np.random.default_rng(seed)
     # the kept rows are spread over both labels
     kept = np.zeros(len(rows), bool)
@@ -208,12 +214,25 @@ def train(rows: list[tuple[str, str | None, int]], seed: int = 7) -> Model:
         own = np.flatnonzero(y == label)
         kept[own[rng.permutation(len(own))[: len(own) // 5]]] = True
     fit = np.flatnonzero(~kept)
-    held = [np.array(sorted({f for w in set(texts[i]) for f in features(w)}), np.int64) for i in fit]
-    live = net.start(held, y[fit])
+    every, of_toxic = np.zeros(len(hashes), np.int32), np.zeros(len(hashes), np.int32)
+    for i in fit:
+        used = np.unique(coded[i])
+        held = np.unique(np.concatenate([place[all_first[k] : all_first[k + 1]] for k in used]))
+        every[held] += 1
+        if y[i]:
+            of_toxic[held] += 1
+    learned = net.start(every, of_toxic, hashes, len(fit), int(y[fit].sum()))
+    live = frozenset(hashes[learned].tolist())
+    # a word keeps its learned rows; one without any gets a row that stays zero
     blank = int(np.flatnonzero(~net.alive)[0])
-    lists = [[f % BUCKETS for f in features(w) if f in live] or [blank] for w in number]
-    first = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-    feats = np.concatenate([np.array(x, np.int64) for x in lists])
+    keep = learned[place]
+    word = np.repeat(np.arange(len(all_size)), all_size)[keep]
+    count = np.bincount(word, minlength=len(all_size))
+    none = count == 0
+    first = np.concatenate(([0], np.cumsum(np.where(none, 1, count))))
+    feats = np.full(first[-1], blank, np.int64)
+    feats[np.repeat(~none, np.where(none, 1, count))] = hashes[place[keep]] % BUCKETS
+    del every, of_toxic, place, word, keep
     weight = np.where(y == 1, min(5.0, (y[fit] == 0).sum() / max(1, (y[fit] == 1).sum())), 1.0).astype(np.float32)
     for _ in range(min(EPOCHS[1], max(EPOCHS[0], LEAST_STEPS * BATCH // len(fit)))):
         order = rng.permutation(fit)
@@ -221,26 +240,28 @@ def train(rows: list[tuple[str, str | None, int]], seed: int = 7) -> Model:
             some = order[k : k + BATCH]
             net.step([coded[i] for i in some], y[some], weight[some], feats, first)
     model = Model(net.p["embed"], net.p["filters"], net.p["bias"], net.p["out"], float(net.p["out_bias"][0]), live=live)
-    _learn_languages(model, [(t, r[1]) for t, r in zip(texts, rows, strict=True)])
+    _learn_languages(model, number, coded, [r[1] for r in rows])
+    del number, coded, net, feats, first
     scorer = Scorer(model)
     found = [scorer.raw(r[0]) for r in rows]
     _calibrate(model, [x for x, k in zip(found, kept, strict=True) if k], y[kept], [x for x, k in zip(found, kept, strict=True) if not k], y[~kept])
     return model
 
 
-def _learn_languages(model: Model, texts: list[tuple[list[str], str | None]]) -> None:
-    counts: dict[str, Counter] = {}
-    for found, lang in texts:
+def _learn_languages(model: Model, number: dict[str, int], coded: list[np.ndarray], langs: list[str | None]) -> None:
+    """Log odds by language of the most common words."""
+    model.languages = sorted({x for x in langs if x is not None})
+    if not model.languages:
+        return
+    counts = np.zeros((len(model.languages), len(number)), np.int64)
+    for words_of, lang in zip(coded, langs, strict=True):
         if lang is not None:
-            counts.setdefault(lang, Counter()).update(found)
-    model.languages = sorted(counts)
-    total = Counter()
-    for c in counts.values():
-        total.update(c)
-    sums = {lang: sum(c.values()) + COMMON for lang, c in counts.items()}
-    for word, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:COMMON]:
-        row = np.array([np.log((counts[lang][word] + 0.5) / sums[lang]) for lang in model.languages], np.float32)
-        model.common[word] = row - row.mean()
+            np.add.at(counts[model.languages.index(lang)], words_of, 1)
+    common = np.argsort(-counts.sum(0), kind="stable")[:COMMON]
+    share = np.log((counts[:, common] + 0.5) / (counts.sum(1, keepdims=True) + COMMON)).astype(np.float32)
+    name = list(number)
+    for k, w in enumerate(common.tolist()):
+        model.common[name[w]] = share[:, k] - share[:, k].mean()
 
 
 def _threshold(logit: np.ndarray, y: np.ndarray) -> float | None:
