@@ -107,6 +107,28 @@ def test_license_scan(spark):
     assert ls.scan(df.limit(0), F.col("path")).count() == 0
 
 
+def test_license_files_of_full_texts_speak_for_their_directory(spark):
+    whole = ls.whole_texts()
+    rows = [(k, f"Copyright (c) 2020 A. Author\n\n{t}", f"d{k}/LICENSE") for k, t in enumerate(whole.values())]
+    rows += [(100 + k, "int main", f"d{k}/src/a.c") for k in range(len(whole))]
+    header = ls.HEADERS["AGPL-3.0"] + " code and more" * 300
+    rows += [(200, header, "h/a.c"), (201, "int main", "h/b.c"), (202, header, "n/COPYING.txt"), (203, "int main", "n/b.c"), (204, whole["MIT"] + " code" * 900, "m/a.c"), (205, "int main", "m/b.c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r.doc_id: (r.own, r.licence) for r in ls.scan(df, F.col("path")).collect()}
+    for k, name in enumerate(whole):
+        assert got[k] == (name, name) and got[100 + k] == (None, name)
+    assert got[200] == ("AGPL-3.0", "AGPL-3.0") and got[201] == (None, None) and got[203] == (None, "AGPL-3.0")
+    assert got[204] == ("MIT", "MIT") and got[205] == (None, None)
+
+
+def test_windows_of_a_text_in_pieces(monkeypatch):
+    found = ls.Weights(1000, {"the": 900, "under": 400})
+    text = "the code " * 90 + ls.HEADERS["MPL-2.0"] + " the code" * 60
+    whole = found.notice(text)
+    monkeypatch.setattr(ls, "PIECE", 70)
+    assert found.notice(text) == whole and whole[0] == "MPL-2.0"
+
+
 def test_passed_over_texts_can_have_no_notice():
     found = ls.Weights(1000, {"the": 900, "under": 400})
     rng = random.Random(1)
