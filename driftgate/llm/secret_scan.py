@@ -1,7 +1,9 @@
 """Secrets by candidates and a random forest that removes false positives; DataFrame functions only.
 
-Every word of the whole text that holds 16 or more characters of the key alphabet in a row is a
-candidate. A candidate is described by its length, its character transitions (changes between
+Every run of 16 or more characters of the key alphabet in the whole text is a candidate; a word can
+have several (URLs, minified JSON, comma-separated lines). The name of a run is the one assigned
+just before it in its word, for later items of a list that of the list, and otherwise it is looked
+for in the words before. A candidate is described by its length, its character transitions (changes between
 lower-case letters, capitals, digits and signs, and repeated characters), how much of it dictionary
 words cover, its document's path, and its neighbouring words. The forest is trained on labelled
 findings; ``seed_findings`` gives a set made by rule where no reviewed findings exist, and reviewed
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from driftgate.llm.work import table
 
 KEY = r"[A-Za-z0-9_+/=\-]{16,}"
+#: A name and its assignment at the end of the text before a run, at the start of a run, and marks between items of a list.
+NAME_BEFORE, NAME_WITHIN, ITEM = r"""([A-Za-z0-9_.\-]+)["'`\\]*[=:]+["'`\\(\[{]*$""", r"^([A-Za-z0-9_.\-]+)=[^=]", r"""^["'`\\]*[,;|]["'`\\]*$"""
 NAMES = r"(?i)(token|secret|passw|passwd|pwd|api|apikey|auth|bearer|credential|private|access|key)"
 #: Short words that long harmless words are often made of.
 DICTIONARY = ["able", "and", "con", "der", "die", "ein", "ent", "ere", "est", "example", "for", "hat", "her", "ing", "ion", "ity", "keit", "lich", "ment", "nd", "not", "ous", "our", "que", "sample", "sch", "ser", "st", "test", "th", "the", "ther", "tion", "und", "ung", "ver", "was", "with", "you"]
@@ -110,21 +114,41 @@ def train(findings: DataFrame) -> PipelineModel:
 
 
 def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
-    """doc_id, position, token, word, before2, before1, after1, path of each candidate word."""
+    """doc_id, position, run, token, word, before2, before1, after1, path of each run of a word.
+
+    ``word`` is the run with the text between it and the runs beside it; a run with a name in its
+    own word has the name and an equals sign for the words before.
+    """
     likely = docs.where(F.col("text").rlike(KEY))
     words = likely.select(F.col("doc_id"), F.coalesce(path if path is not None else F.lit(""), F.lit("")).alias("path"), F.split("text", r"\s+").alias("words"))
     spots = F.filter(F.transform("words", lambda w, i: F.when((F.length(w) >= 16) & w.rlike(KEY), i)), lambda i: i.isNotNull())
     at = words.select("doc_id", "path", "words", F.explode(spots).alias("position"))
     word = lambda k: F.when(F.col("position") + k >= 0, F.get("words", F.col("position") + k))
-    near = at.select("doc_id", "path", F.col("position").cast("long").alias("position"), word(0).alias("word"), word(-1).alias("before1"), word(-2).alias("before2"), word(1).alias("after1"))
-    return near.withColumn("token", F.regexp_extract("word", f"({KEY})", 1))
+    near = at.select("doc_id", "path", F.col("position").cast("long").alias("position"), word(0).alias("whole"), word(-1).alias("before1"), word(-2).alias("before2"), word(1).alias("after1"))
+    near = near.withColumns({"tokens": F.regexp_extract_all("whole", F.lit(KEY), F.lit(0)), "gaps": F.split("whole", KEY)})
+    found = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    lead = lambda j: F.concat(F.when(j > 0, F.get("tokens", j - 1)).otherwise(F.lit("")), F.get("gaps", j))
+    near = near.withColumn("names", F.transform("tokens", lambda t, j: F.coalesce(found(lead(j), NAME_BEFORE), F.when(j > 0, found(t, NAME_WITHIN)))))
+    runs = near.select("*", F.posexplode("tokens").alias("run", "token"))
+    run = F.col("run")
+    gap, after, last = F.get("gaps", run), F.get("gaps", run + 1), run == F.size("tokens") - 1
+    # only items of lists look back for the last name before them
+    place = F.array_max(F.filter(F.transform("names", lambda n, j: F.when(n.isNotNull() & (j < run), j)), lambda j: j.isNotNull()))
+    item = (run > 0) & gap.rlike(ITEM)
+    runs = runs.withColumn("name", F.coalesce(F.get("names", run), F.when(item, F.coalesce(F.get("names", place), found(F.get("tokens", F.lit(0)), NAME_WITHIN)))))
+    own = (run == 0) | item
+    before = lambda name, sign: F.when(F.col("name").isNotNull(), sign).when(own, F.col(name))
+    return runs.select(
+        "doc_id", "position", F.col("run").cast("long").alias("run"), "token", F.concat(gap, "token", F.when(last, after).otherwise(F.regexp_extract(after, r"""^["'`\\]*""", 0))).alias("word"),
+        before("before2", F.col("name")).alias("before2"), before("before1", F.lit("=")).alias("before1"), F.when(last, F.col("after1")).alias("after1"), "path",
+    )
 
 
 def scan(docs: DataFrame, model: PipelineModel, path: Column | None = None, least: float = 0.5) -> DataFrame:
-    """One row per candidate: doc_id, position, token_sha256, shown, length, score, is_secret."""
+    """One row per candidate: doc_id, position, run, token_sha256, shown, length, score, is_secret."""
     found = model.transform(features(candidates(docs, path)))
     score = vector_to_array("probability")[1]
-    return found.select("doc_id", "position", F.sha2("token", 256).alias("token_sha256"), F.concat(F.substring("token", 1, 4), F.lit("…")).alias("shown"), F.length("token").alias("length"), F.round(score, 6).alias("score"), (score >= least).alias("is_secret"))
+    return found.select("doc_id", "position", "run", F.sha2("token", 256).alias("token_sha256"), F.concat(F.substring("token", 1, 4), F.lit("…")).alias("shown"), F.length("token").alias("length"), F.round(score, 6).alias("score"), (score >= least).alias("is_secret"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -98,6 +99,18 @@ def test_secret_scan(spark):
     assert seeds > 0.95
 
 
+def test_secret_scan_of_words_with_several_runs(spark):
+    model = ss.train(ss.seed_findings(spark, 2400))
+    keys = [hashlib.sha256(b"%d" % k).hexdigest()[:40] for k in range(14)]
+    rows = [(1, f"see https://example.com/api/v1/resources?token={keys[0]} for it"), (2, f'{{"authorization_header":"{keys[1]}","commit":"{keys[2]}"}}'), (3, f"token={keys[3]},secret={keys[4]}"), (4, f'{{"tokens":["{keys[5]}","{keys[6]}","{keys[7]}"]}}'), (5, f"token = {keys[8]},{keys[9]};{keys[10]}"), (6, f"commit:{keys[11]}|digest:{keys[12]}")]
+    got = {}
+    for r in ss.scan(docs(spark, rows), model, F.col("path")).orderBy("doc_id", "position", "run").collect():
+        got.setdefault(r.doc_id, []).append((r.run, r.token_sha256, r.is_secret))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {1: [("com/api/v1/resources", False), (f"token={keys[0]}", True)], 2: [("authorization_header", False), (keys[1], True), (keys[2], False)], 3: [(f"token={keys[3]}", True), (f"secret={keys[4]}", True)], 4: [(k, True) for k in keys[5:8]], 5: [(k, True) for k in keys[8:11]], 6: [(keys[11], False), (keys[12], False)]}
+    assert got == {i: [(k, sha(t), y) for k, (t, y) in enumerate(found)] for i, found in want.items()}
+
+
 def test_license_scan(spark):
     notice = ls.TEMPLATES["Apache-2.0"]
     rows = [(1, notice, "src/a/LICENSE"), (2, "words " * 50, "src/a/b/x.txt"), (3, "words", "src/c/y.txt"), (4, "one two three " * 9000 + ls.TEMPLATES["MIT"] + " and on " * 40, "src/a/z.txt"), (5, None, None), (6, "", "src/a/b/w.txt"), (6, "", "src/a/b/w.txt"), (7, "the license of a version is public", "q/r.txt")]
