@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from driftgate.llm import exact_dedup, minhash_dedup, mixing, packing, toxicity
 from driftgate.llm.work import stored, table
 
-#: Share of expected tokens by labelled quality that the mix stage aims at.
-QUALITY = {"q0": 0.12, "q1": 0.88}
+#: Share of expected tokens by labelled quality that the mix stage aims at: a fixed value, not read off any table.
+QUALITY = {"q0": 0.10, "q1": 0.90}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ in no total; without labels the rate is 1 for all; null ids are carried.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +37,9 @@ from driftgate.llm.work import fresh, held_out, stable_order, stored, table
 MOST_LABELLED, MOST_TRAIN_CHARS = 4000, 20_000
 BUCKETS, MOST_STEPS = 2**13, 40
 MOST_KEPT_WORDS = 500_000
+#: Share of the kept tokens by which a domain may be off before it is a warning.
+MOST_OFF = 0.01
+_LOG = logging.getLogger(__name__)
 #: Share of expected tokens by domain of the labelled table: quality 0 or 1, toxic 0 or 1.
 TARGETS = {"q0t0": 0.10, "q0t1": 0.01, "q1t0": 0.85, "q1t1": 0.04}
 
@@ -153,11 +157,13 @@ def _rate(columns: list[str], steps: list[np.ndarray], most: float) -> Column:
     return rate
 
 
-def fit_rates(found: DataFrame, domains: list[str], weights: dict[str, float], most: float, share: float = 1.0) -> tuple[list[np.ndarray], list[float]]:
+def fit_rates(found: DataFrame, domains: list[str], weights: dict[str, float], most: float) -> tuple[list[np.ndarray], list[float]]:
     """The steps that make a rate of a posterior, and the largest relative error before each.
 
-    The targets add up to ``share`` of all tokens. Where bounds keep a domain from its target, the
-    least-squares compromise stands and the error says how far off it is.
+    The targets add up to all tokens, or, where rates stop at one, to the most that the scarcest
+    domain allows. As documents belong to several domains in part, even that can be out of reach:
+    where steps no longer help, the total falls to just below what the domain furthest behind allows. The last
+    error says how far off the rates are.
     """
     if not domains:
         return [], []
@@ -169,7 +175,10 @@ def fit_rates(found: DataFrame, domains: list[str], weights: dict[str, float], m
     a = np.array([first[k] or 0.0 for k in range(len(p), len(first))]).reshape(len(p), len(p))
     if not have.sum():
         return [], []
-    tokens = share * have.sum()
+    wanted = w > 0
+    tokens = have.sum() if most > 1 else min(have.sum(), float((have[wanted] / w[wanted]).min()))
+    if not tokens:
+        return [], []
     inverse = np.linalg.pinv(a, rcond=1e-9)
     steps: list[np.ndarray] = []
     errors = []
@@ -181,7 +190,13 @@ def fit_rates(found: DataFrame, domains: list[str], weights: dict[str, float], m
             got = have
         error = got - tokens * w
         errors.append(float(np.abs(error).max() / tokens))
-        if errors[-1] < 1e-5 or len(errors) > 4 and errors[-5] - errors[-1] < 1e-7:
+        if most <= 1 and len(errors) > 2 and errors[-1] > max(1e-3, 0.9 * errors[-2]):
+            tokens = min(tokens, 0.98 * float((got[wanted] / w[wanted]).min()))
+            if not tokens:
+                break
+            error = got - tokens * w
+            errors[-1] = float(np.abs(error).max() / tokens)
+        elif errors[-1] < 1e-5 or len(errors) > 4 and errors[-5] - errors[-1] < 1e-7:
             break
         # nine digits: sums in another order must not change a rate
         steps.append(np.array([float(f"{x:.9g}") for x in inverse @ error]))
@@ -205,13 +220,15 @@ def drawn(doc_id: str, rate: str) -> Column:
     return (F.floor(rate) + (uniform < F.col(rate) - F.floor(rate)).cast("long")).cast("long")
 
 
-def keep_mixed(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], share: float = 0.95) -> DataFrame:
-    """``docs`` thinned to the target weights (rates at most one, ``share`` of all tokens), all columns kept.
+def keep_mixed(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float]) -> DataFrame:
+    """``docs`` thinned to the target weights (rates at most one), all columns kept.
 
-    The posterior is computed again beside the texts instead of joining the rates to them.
+    How far the expected shares stay off the targets is logged. The posterior is computed again beside the texts instead of joining the rates to them.
     """
     model = fit(docs, labels, domain)
-    steps, _ = fit_rates(posteriors(docs, model), model.domains, weights, 1.0, share)
+    steps, errors = fit_rates(posteriors(docs, model), model.domains, weights, 1.0)
+    off = errors[-1] if errors else 0.0
+    _LOG.log(logging.WARNING if off > MOST_OFF else logging.INFO, "mix: expected tokens of a domain are off its target by up to %.6f of all kept", off)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
     names = [fresh(docs, f"p_{d}") for d in model.domains]
