@@ -261,9 +261,13 @@ def near_duplicates(docs: DataFrame, least_percent: int = 85, text: str = "text"
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+#: Similarity in percent from which the pipeline takes documents for near-duplicates.
+KEEP_PERCENT = 80
+
+
 def keep_near(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, all columns kept."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    dropped = near_duplicates(docs, KEEP_PERCENT).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -169,6 +169,13 @@ def test_pipeline_stages(spark):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_near_stage_links_pairs_from_80_percent(spark):
+    words = [f"w{k}" for k in range(104)]
+    # 100 shingles of five words; new last words change as many shingles: 90 of 110 common, and 87 of 113
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-10], *(f"x{k}" for k in range(10))])), (3, " ".join([f"v{k}" for k in range(104)])), (4, " ".join([*(f"v{k}" for k in range(91)), *(f"y{k}" for k in range(13))]))]
+    assert {r.doc_id for r in corpus_pipeline.drop_near(spark, docs(spark, rows), "").collect()} == {1, 3, 4}
+
+
 @pytest.mark.parametrize("name", ["toxicity", "exact_dedup", "near_dedup", "mix"])
 def test_stage_handles_odd_rows(spark, name):
     sf = "/root/testdata/sf0.001"
