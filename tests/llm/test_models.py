@@ -90,23 +90,3 @@ def test_mixing_edge_cases(spark):
     assert kept.columns == docs.columns
     copies = spark.range(4000).withColumn("r", F.lit(2.25)).select(mx.drawn("id", "r").alias("n")).agg(F.avg("n")).first()[0]
     assert abs(copies - 2.25) < 0.05
-
-
-@pytest.mark.parametrize("sharp", [20.0, 3.0, 0.8])
-def test_thinning_meets_targets_of_a_skewed_corpus(spark, sharp):
-    rng = random.Random(8)
-    rows = []
-    for k in range(4000):
-        q0 = rng.betavariate(0.3 * sharp, 0.7 * sharp) if sharp < 20 else float(rng.random() < 0.3)
-        rows.append((k, rng.randrange(5, 300), q0, 1 - q0))
-    found = spark.createDataFrame(rows, "doc_id long, tokens long, p_q0 double, p_q1 double").cache()
-    steps, errors = mx.fit_rates(found, ["q0", "q1"], {"q0": 0.1, "q1": 0.9}, 1.0)
-    rate = mx._rate(["p_q0", "p_q1"], steps, 1.0)
-    q0, q1 = found.agg(F.sum(rate * F.col("tokens") * F.col("p_q0")), F.sum(rate * F.col("tokens") * F.col("p_q1"))).first()
-    # the most that can be kept: documents by their share of q0 until the target is met
-    best, low, tokens = 0.0, 0.0, 0.0
-    for _, n, p, _ in sorted(rows, key=lambda r: r[2]):
-        low, tokens = low + n * p, tokens + n
-        best = tokens if low <= 0.1 * tokens else best
-    assert q0 / (q0 + q1) == pytest.approx(0.1, abs=0.01) and errors[-1] < 0.01
-    assert q0 + q1 >= 0.8 * best
