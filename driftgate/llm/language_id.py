@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftgate.llm.work import held_out, stable_order, table
+from driftgate.llm.work import held_out, slices, stable_order, table
 
 PROFILE, SAMPLE = 300, 1500
 _BITS, _GAP = 21, 1  # bits of a code point; the sign for all that isn't a letter
@@ -95,7 +95,7 @@ class Profiles:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> n-gram counts of the partition by language."""
     sums: dict[str, dict[int, int]] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = sums.setdefault(lang, {})
             for g, n in zip(*(x.tolist() for x in ngrams(text)), strict=True):
@@ -122,7 +122,7 @@ def learn(docs: DataFrame) -> Profiles:
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [profiles.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["row", "lang_pred", "score"])
 

@@ -32,14 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgate.llm.components import components
-from driftgate.llm.work import attach, stored, table
+from driftgate.llm.work import Recent, attach, held, stored, table
 
 WORDS = 5
 BANDS, ROWS = 32, 6
 PERMS = BANDS * ROWS // 2
 #: Texts and shingles that meet in one block of a task; beyond so many blocks a family is split by bucket.
 BLOCK_DOCS, BLOCK_SHINGLES, MOST_BLOCKS = 1500, 3_000_000, 24
-MOST_WORDS = 500_000
+#: Words whose hashes a worker keeps.
+KEPT_WORDS = 100_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -58,15 +59,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-_HASHES = _WordHashes()
+def _hashes() -> Recent:
+    return held("word hashes", lambda: Recent(_hash, KEPT_WORDS))
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -74,7 +72,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = _WORD.findall(text.translate(_LOWER) if text and text.isascii() else _ascii_lower(text or ""))
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
     n = min(len(h), WORDS)
     total = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):

@@ -31,24 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgate.llm.work import fresh, held_out, stable_order, stored, table
+from driftgate.llm.work import Recent, fresh, held, held_out, slices, stable_order, stored, table
 
 MOST_LABELLED, MOST_TRAIN_CHARS = 4000, 20_000
 BUCKETS, MOST_STEPS = 2**13, 40
-MOST_KEPT_WORDS = 500_000
+#: Words whose buckets a worker keeps.
+KEPT_WORDS = 100_000
 #: Share of expected tokens by domain of the labelled table: quality 0 or 1, toxic 0 or 1.
 TARGETS = {"q0t0": 0.10, "q0t1": 0.01, "q1t0": 0.85, "q1t1": 0.04}
 
 
-class _Buckets(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > MOST_KEPT_WORDS:
-            self.clear()
-        self[word] = b = zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
-        return b
-
-
-_WORD_BUCKETS = _Buckets()
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -58,7 +52,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     # half precision of a frequency is plenty; long texts are counted in one pass
     freq = np.bincount(raw & 127, minlength=128) / max(1, len(raw))
     shape = np.concatenate([np.sqrt(freq), [np.log1p(len(found)) / 8, len(set(found)) / max(1, len(found)), 1.0]])
-    return np.fromiter(map(_WORD_BUCKETS.__getitem__, found), np.int64, len(found)), shape, len(found)
+    buckets = held("word buckets", lambda: Recent(_bucket, KEPT_WORDS))
+    return np.fromiter(map(buckets.__getitem__, found), np.int64, len(found)), shape, len(found)
 
 
 SHAPES = 131
@@ -126,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column) -> Model:
 def _posteriors(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             tokens, p = [], []
             for text in batch.column(1).to_pylist():
                 buckets, shape, n = features(text)
@@ -217,7 +212,7 @@ def keep_mixed(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict
     names = [fresh(docs, f"p_{d}") for d in model.domains]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             p = [shared.value.posterior(*features(t)[:2]).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in p], pa.float64()) for k in range(len(names)))], names=[*batch.schema.names, *names])
 

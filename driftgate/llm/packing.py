@@ -28,13 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftgate.llm.work import stored, table
+from driftgate.llm.work import Recent, held, slices, stored, table
 
 WINDOW = 2048
 END_ID = 1
 #: Characters whose lower case is one character regardless of neighbours and that need no composing.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xffĀ-įĲ-ňŊ-ſ‐-‧‰-⁞€]*")
-MOST_PIECES = 800_000
+#: Pieces whose ids a worker keeps.
+KEPT_PIECES = 150_000
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on.
 BYTE_SIGNS = {b: chr(0x100 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
@@ -60,7 +61,8 @@ class Encoder:
         self.by_piece = whole("Über and, so. on") == b"".join(map(whole, ("über", "and", ",", "so", ".", "on")))
         #: words of letters skip the tokenizer's outer steps where its model alone gives the same ids
         self.word = self._by_model if all(self._by_model(w) == whole(w) for w in ("and", "über", "ñandú", "a", "straße", "œuvre", "tion")) else whole
-        self.pieces = _Pieces(self)
+        self.marks = {m: whole(m) for m in ".,"}
+        self.pieces = Recent(self._piece, KEPT_PIECES)
 
     def _by_model(self, word: str) -> bytes:
         tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))
@@ -72,41 +74,25 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not self.by_piece or "<|" in text or not PLAIN.fullmatch(text):
             return self.whole(text) + self.end
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
         return b"".join(map(self.pieces.__getitem__, text.lower().split())) + self.end
 
-
-class _Pieces(dict):
-    """Ids of pieces seen before; a word with a comma or full stop behind it is put together."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-        self.marks = {m: encoder.whole(m) for m in ".,"}
-
-    def __missing__(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece; a word with a comma or full stop behind it is put together."""
         if (mark := self.marks.get(piece[-1])) and (word := piece[:-1]).isalpha():
-            return self[word] + mark
-        self[piece] = ids = self.encoder.word(piece) if piece.isalpha() else self.encoder.whole(piece)
-        return ids
-
-
-_ENCODERS: dict[str, Encoder] = {}
+            return self.word(word) + mark
+        return self.word(piece) if piece.isalpha() else self.whole(piece)
 
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
         width = encode.kind.itemsize
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encode(t or "") for t in batch.column(1).to_pylist()]
             sizes = np.array([len(x) // width for x in ids], np.int64)
             starts = before + np.cumsum(sizes) - sizes

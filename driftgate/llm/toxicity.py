@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgate.llm.work import held_out, stable_order, table
+from driftgate.llm.work import Recent, held_out, slices, stable_order, table
 
 MOST_TOXIC, MOST_CLEAN, MOST_TRAIN_CHARS = 2000, 3000, 20_000
 BUCKETS, DIMS, WIDTHS, FILTERS = 2**15, 12, (1, 2, 3), 16
 LINE = 0.7
 LEAST_STEPS, EPOCHS, BATCH, RATE = 500, (3, 20), 32, 0.003
-COMMON, MOST_KEPT_WORDS = 1500, 300_000
+COMMON = 1500
+#: Bounds of what a scorer keeps: words, rows of its table (a row is 384 bytes), and words of a text at a time.
+KEPT_WORDS, KEPT_ROWS, PIECE = 50_000, 2**16, 8_000
 LEAST_TEXTS, LEAST_Z = 3, 1.2
 #: A language whose rows no cut separates this well takes the threshold of all languages.
 LEAST_F1 = 0.6
@@ -291,29 +293,21 @@ def _calibrate(model: Model, kept: list[tuple[float, str]], y: np.ndarray, fitte
         model.shift[lang] = line - cut if cut is not None else model.shift.get("", line)
 
 
-class _Numbers(dict):
-    def __init__(self, scorer: Scorer):
-        super().__init__()
-        self.scorer = scorer
-
-    def __missing__(self, word: str) -> int:
-        self[word] = row = self.scorer.add(word)
-        return row
-
-
 class Scorer:
+    """Scores of whole texts; what it keeps of words seen before is bounded."""
+
     def __init__(self, model: Model):
         self.model = model
-        self.number = _Numbers(self)
+        self.number = Recent(self.add, KEPT_WORDS)
         self.shared: dict[tuple, int] = {}
-        self.table = np.zeros((1024, OFFSETS * FILTERS), np.float32)
-        self.odds = np.zeros((1024, max(1, len(model.languages))), np.float32)
+        self.table = np.zeros((KEPT_ROWS, OFFSETS * FILTERS), np.float32)
+        self.odds = np.zeros((KEPT_ROWS, max(1, len(model.languages))), np.float32)
         self.flat_filters = model.filters.transpose(1, 0, 2).reshape(DIMS, OFFSETS * FILTERS)
 
     def _rows(self, found: list[str]) -> np.ndarray:
         """Table rows of words; words whose learned rows are the same share one."""
-        if len(self.number) > MOST_KEPT_WORDS:
-            self.number.clear()
+        if len(self.shared) + len(found) > KEPT_ROWS:
+            self.number = Recent(self.add, KEPT_WORDS)
             self.shared.clear()
         return np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
 
@@ -324,9 +318,6 @@ class Scorer:
         row = self.shared.get(key)
         if row is None:
             row = self.shared[key] = len(self.shared)
-            if row == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.odds = np.concatenate([self.odds, np.zeros_like(self.odds)])
             self.table[row] = self.model.embed[list(key[0])].mean(0) @ self.flat_filters if key[0] else 0
             self.odds[row] = 0 if common is None else common
         return row
@@ -337,16 +328,16 @@ class Scorer:
         if not found:
             return m.out_bias, ""
         pooled, odds, tail = None, np.zeros(self.odds.shape[1]), []
-        for k in range(0, len(found), 20_000):  # two words more for the windows that cross
-            rows = self._rows(found[k : k + 20_002])
-            odds += self.odds[rows[:20_000]].sum(0)
+        for k in range(0, len(found), PIECE):  # two words more for the windows that cross
+            rows = self._rows(found[k : k + PIECE + 2])
+            odds += self.odds[rows[:PIECE]].sum(0)
             part, offset = [], 0
             for w, width in enumerate(WIDTHS):
                 n = len(rows)
                 value = self.table[rows, offset * FILTERS : (offset + 1) * FILTERS]
                 for j in range(1, min(width, n)):
                     value[: n - j] += self.table[rows[j:], (offset + j) * FILTERS : (offset + j + 1) * FILTERS]
-                keep = value[: 20_000 if k + 20_000 < len(found) else n]
+                keep = value[: PIECE if k + PIECE < len(found) else n]
                 part.append(np.maximum(keep.max(0) + m.bias[w], 0))
                 offset += width
             part = np.concatenate(part)
@@ -363,7 +354,7 @@ class Scorer:
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scorer.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array([x or "und" for _, x in found], pa.string())], names=["row", "score", "lang_read"])
 
@@ -395,7 +386,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def _kept(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             keep = [scorer.score(t)[0] < LINE for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,46 @@ def attach(rows: DataFrame, keys: Sequence[str], values: DataFrame, by: Sequence
     return dealt.join(spread, [*keys, "_salt"], "left").drop("_salt")
 
 
+#: Rows that a worker turns into Python objects at a time.
+SLICE = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows at most, so that a worker holds few texts as Python strings."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+class Recent(dict):
+    """Values made on demand by ``make``; the keys used last stay, ``most`` to twice as many."""
+
+    def __init__(self, make: Callable[[Any], Any], most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: Hashable) -> Any:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+_HELD: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps between the tasks of one operator; another operator's goes."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 1 by 3: rows that no label is learned from.
 
