@@ -2,21 +2,25 @@
 
 A document's set holds the 64-bit hashes of its distinct five-word shingles. Each of ``PERMS``
 permutations is evaluated once per shingle and gives two signature values, its minimum and its
-maximum; bands of ``ROWS`` values take minima from one group of permutations and maxima from
-another. With 32 bands of 6, a pair at similarity 0.85 shares no band with probability 3e-7.
+maximum. A band is ``ROWS`` values: the first half of the bands takes minima, the second maxima, so
+band k and band k + 16 look at the same six permutations from both ends. With 32 bands of 6, a pair
+at similarity 0.85 shares no band with probability 3e-7.
 
 Documents with the same set are one class from here on, represented by their least id. Classes that
 share a band bucket are tied to the bucket's least class (one row per class and bucket, never a
 pair of members), and the components of those ties are *families*: two classes that share any
-bucket are in one family. A family is resolved where all its texts meet, by exact set overlaps, so
-no confirmed link is missed and none is invented. A family too large for one task is dealt out in
-blocks and each pair of blocks is one task, which returns a spanning forest of the links it
-confirms; a family beyond ``MOST_BLOCKS`` blocks is resolved bucket by bucket instead. Components
-of the confirmed links are the answer.
+bucket are in one family. Two classes are linked where they share a bucket and their full sets
+overlap enough, whatever the size of their family; that size only decides where their texts meet. A
+family meets in one task, a larger one is dealt out in blocks and each pair of blocks is a task, and
+one of more than ``MOST_BLOCKS`` blocks meets bucket by bucket. A task returns a spanning forest of
+the links it confirms; components of these links are the answer.
+
+Only texts of family members are shuffled: up to ``MOST_BROADCAST`` members their ids are sent to
+the scan of the texts, beyond that the texts are shuffled to them.
 
 Defined results: documents without words have an empty set and link with nothing; a null id is
-kept, has a null component and links with nothing; rows that repeat an id are one document, judged
-by the text of any of them when they differ; extra columns are ignored.
+kept, has a null component and links with nothing; rows that repeat an id are judged each by its own
+text, and groups that have the same least id are one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +41,10 @@ from driftgate.llm.work import Recent, attach, held, stored, table
 WORDS = 5
 BANDS, ROWS = 32, 6
 PERMS = BANDS * ROWS // 2
-#: Texts and shingles that meet in one block of a task; beyond so many blocks a family is split by bucket.
-BLOCK_DOCS, BLOCK_SHINGLES, MOST_BLOCKS = 1500, 3_000_000, 24
+#: Texts and shingles that meet in one block of a task; a family of more blocks meets bucket by bucket.
+BLOCK_DOCS, BLOCK_SHINGLES, MOST_BLOCKS = 1500, 1_500_000, 24
+#: Ids of 8 bytes that are sent to every executor at most.
+MOST_BROADCAST = 2_000_000
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 100_000
 
@@ -121,11 +127,13 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
 
 class _Sets:
-    """Exact links among the classes of one task, found through an inverted index of shingles."""
+    """Exact links among the classes of one task that share a bucket, found through an inverted index of shingles."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], block: list[int]):
         self.ids, self.sets, self.block = ids, sets, block
-        self.root = list(range(len(ids)))
+        self.ends: dict[tuple[int, int], np.ndarray] = {}
+        place = {i: k for k, i in reversed(list(enumerate(ids)))}
+        self.root = [place[i] for i in ids]  # several texts of an id are one node
 
     def find(self, k: int) -> int:
         while self.root[k] != k:
@@ -139,13 +147,25 @@ class _Sets:
         self.root[max(a, b)] = min(a, b)
         return True
 
+    def candidates(self, a: int, b: int) -> bool:
+        """Whether two sets share a bucket; most that are similar do so at the first permutations."""
+        for first in range(0, PERMS, ROWS):
+            for k in (a, b):
+                if (k, first) not in self.ends:
+                    perms = slice(first, first + ROWS)
+                    values = _FACTOR[perms, None] * self.sets[k][None] + _SHIFT[perms, None]
+                    self.ends[k, first] = np.stack([values.min(axis=1), values.max(axis=1)])
+            if (self.ends[a, first] == self.ends[b, first]).all(axis=1).any():
+                return True
+        return False
+
     def links(self, least_percent: int) -> list[tuple[int, int]]:
         sizes = np.array([len(x) for x in self.sets], np.int64)
         order = np.argsort(sizes, kind="stable")
         out = []
         if len(order) <= 3:
             for a, b in itertools.combinations(range(len(order)), 2):
-                if self._enough(len(np.intersect1d(self.sets[a], self.sets[b], assume_unique=True)), sizes[a], sizes[b], least_percent) and self.join(a, b):
+                if self._enough(len(np.intersect1d(self.sets[a], self.sets[b], assume_unique=True)), sizes[a], sizes[b], least_percent) and self.candidates(a, b) and self.join(a, b):
                     out.append((self.ids[a], self.ids[b]))
             return out
         # postings in the order of set sizes: values, then for each value the members that hold it
@@ -163,7 +183,9 @@ class _Sets:
             mine, theirs = sizes[order[k]], sizes[order[:k]]
             hits = np.flatnonzero(100 * counts[:k] >= least_percent * (mine + theirs - counts[:k]))
             for j in hits.tolist():
-                if (not across or block[j] != block[k]) and self.join(int(order[j]), int(order[k])):
+                if across and block[j] == block[k] or self.find(int(order[j])) == self.find(int(order[k])):
+                    continue
+                if self.candidates(int(order[j]), int(order[k])) and self.join(int(order[j]), int(order[k])):
                     out.append((self.ids[order[j]], self.ids[order[k]]))
         return out
 
@@ -202,9 +224,9 @@ def _resolve(least_percent: int):
         for _, group in itertools.groupby(rows(batches), key=lambda r: r[0]):
             there = {}
             for _, i, block, text in group:
-                if i not in there:
-                    there[i] = (shingles(text), block)
-            found = _Sets(list(there), [x for x, _ in there.values()], [x for _, x in there.values()])
+                own = shingles(text)
+                there.setdefault((i, xxhash.xxh3_128_digest(own.tobytes())), (own, block))
+            found = _Sets([i for i, _ in there], [x for x, _ in there.values()], [x for _, x in there.values()])
             for x, y in found.links(least_percent):
                 a.append(min(x, y))
                 b.append(max(x, y))
@@ -235,7 +257,8 @@ def near_duplicates(docs: DataFrame, least_percent: int = 85, text: str = "text"
     # one signature row per class: that of its least id
     own = signed.select(F.col("doc_id").alias("id"), "mark", "bands").join(classes, ["id", "mark"]).dropDuplicates(["id", "mark"])
     buckets = stored(own.select("id", "n_shingles", F.explode("bands").alias("bucket")), "buckets")
-    least = buckets.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written, so that the join below reads it as it is and a hot bucket can be split
+    least = stored(buckets.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "least")
     shared = buckets.join(least, "bucket")
     families = components(shared.select(F.col("id").alias("a"), F.col("least").alias("b")))
     # every member of a family, its least one too
@@ -248,6 +271,8 @@ def near_duplicates(docs: DataFrame, least_percent: int = 85, text: str = "text"
     by_bucket = shared.join(in_vast, "id", "left_semi").select(F.col("bucket").alias("grp"), "id", "n_shingles")
     tasks = _tasks(by_family).withColumn("kind", F.lit(0)).unionByName(_tasks(by_bucket).withColumn("kind", F.lit(1)))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    if members.count() <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(members.select("id")), "id", "left_semi")
     task = F.xxhash64("kind", "grp", "i", "j")
     met = rows.join(tasks, "id").select(task.alias("task"), "i", "j", "id", "own", "text")
     dealt = met.repartition("task").sortWithinPartitions("task", "i", "j", "id")

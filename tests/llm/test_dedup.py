@@ -88,15 +88,52 @@ def family(seed=3):
     return [*rows, (900, None), (901, ""), (902, "  \t"), (903, "one two"), (904, "One  two"), (905, "ünï Ö"), (906, "ünï ö")]
 
 
-@pytest.mark.parametrize("blocks", [(1500, 24), (8, 24), (8, 1)])
-def test_near_duplicates_agree_with_brute_force(spark, monkeypatch, blocks):
-    monkeypatch.setattr(md, "BLOCK_DOCS", blocks[0])
-    monkeypatch.setattr(md, "MOST_BLOCKS", blocks[1])
+@pytest.mark.parametrize(("blocks", "most", "sent"), [(1500, 24, 10**6), (8, 24, 0), (8, 1, 10**6)])
+def test_near_duplicates_agree_with_brute_force(spark, monkeypatch, blocks, most, sent):
+    for name, value in (("BLOCK_DOCS", blocks), ("MOST_BLOCKS", most), ("MOST_BROADCAST", sent)):
+        monkeypatch.setattr(md, name, value)
     rows = family()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in md.near_duplicates(docs(spark, rows)).collect()}
     assert got == brute(rows)
 
 
+def test_links_are_the_same_for_any_block_size(spark, monkeypatch):
+    """At 30 percent many pairs share no bucket; the pairs compared must not follow from block sizes."""
+    rows = family(seed=11)
+    sets = {i: md.shingles(t) for i, t in rows}
+    keys = {i: set(md.bands(h).tolist()) for i, h in sets.items() if len(h)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    passed_over = 0
+    for a, b in itertools.combinations(sorted(keys), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 30 * (len(sets[a]) + len(sets[b]) - both) and both:
+            if keys[a] & keys[b]:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+            else:
+                passed_over += 1
+    assert passed_over > 20
+    for blocks, most in ((1500, 24), (4, 100), (4, 1)):
+        monkeypatch.setattr(md, "BLOCK_DOCS", blocks)
+        monkeypatch.setattr(md, "MOST_BLOCKS", most)
+        got = {r.doc_id: r.component_id for r in md.near_duplicates(docs(spark, rows), 30).collect()}
+        assert got == {i: find(i) for i in sets}
+
+
+def test_repeated_ids_with_other_texts(spark):
+    a, b = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    rows = [(3, a), (3, b), (4, a), (5, b), (1, "one of its own here, really")]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.component_id) for r in md.near_duplicates(docs(spark, order)).collect())
+        assert got == [(1, 1), (3, 3), (3, 3), (4, 3), (5, 3)]
+
+
 def test_near_duplicates_edge_cases(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, "z " * 60_000)]
     got = md.near_duplicates(docs(spark, rows)).collect()
