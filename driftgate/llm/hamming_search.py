@@ -1,19 +1,21 @@
 """Exact k nearest binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into eight segments (four wider ones for tables of many codes) and every distinct code is listed under each of its
+A code is as wide as the longest vector, in words of 64 bits. Each word is cut into eight segments
+(four wider ones for tables of many codes) and every distinct code is listed under each of its
 segment values. A query looks at segment values within radius 0, then exactly 1, 2 and so on. After
 radius s all codes within m (s + 1) - 1 bits have been met, since a code farther than s in all m
 segments is at least m (s + 1) bits away. A query leaves the search when its kth verified distance
 is covered; the others go on to the next radius, at most to a segment's width, where everything has been met.
 
 Rows with the same code are one class with its k + 1 least ids, which suffice for any answer, so a
-vector with many copies is met once. Bucket contents come in chunks of bounded size; a chunk is
-verified in one sweep and returns at most k + 1 classes (by distance and least id), so candidates are never rows of a join.
+vector with many copies is met once. Buckets and the queries that look into them come in chunks of
+bounded size: a chunk of a bucket meets each chunk of its queries once, in one sweep, and returns at
+most k + 1 classes a query (by distance and least id), so candidates are never rows of a join.
 
 Rank ties are broken by id. Defined results: null vectors, null elements and null ids take no part
-in the index or as queries; vectors are read in their first 64 elements, missing ones count as not
-positive; rows that repeat an id are met as often as they are there; fewer than k other rows give
-all of them; extra columns are ignored.
+in the index or as queries; elements that a shorter vector lacks count as not positive; rows that
+repeat an id are met as often as they are there; fewer than k other rows give all of them; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,86 +30,100 @@ from pyspark.sql import functions as F
 
 from driftgate.llm.work import attach, stored, table
 
-BITS, CHUNK = 64, 4096
-#: Segments of a code, up to so many distinct codes and beyond.
+#: Bits of a word; codes of a bucket and queries that meet at a time.
+WORD, CHUNK, ASKING = 64, 512, 512
+#: Segments of a word, up to so many distinct codes and beyond.
 FEW, SEGMENTS_FEW, SEGMENTS_MANY = 4_000_000, 8, 4
 
 
-def sign_code(vector: str) -> Column:
-    """64 bits, the first element's sign first; null for a null vector or element."""
-    v = F.slice(F.col(vector), 1, BITS)
-    bits = F.aggregate(v, F.lit(0).cast("long"), lambda code, x: F.shiftleft(code, 1).bitwiseOR((x > 0).cast("long")))
-    return F.when(F.size(v) == BITS, bits).when(F.size(v) < BITS, F.expr(f"shiftleft({_code_sql(vector)}, {BITS} - size(`{vector}`))"))
+def sign_code(vector: str, bits: int) -> Column:
+    """Words of 64 bits, the first element's sign first; null for a null vector or element."""
+    words = []
+    for first in range(0, max(1, bits), WORD):
+        part = F.slice(F.col(vector), first + 1, WORD)
+        packed = F.aggregate(part, F.lit(0).cast("long"), lambda code, x: F.shiftleft(code, 1).bitwiseOR((x > 0).cast("long")))
+        words.append(F.call_function("shiftleft", packed, F.lit(WORD) - F.size(part)))
+        words[-1] = F.when(F.size(part) == 0, F.lit(0).cast("long")).otherwise(words[-1])
+    # a shift by the whole width would be none, so words without elements are set apart above
+    return F.when(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()), F.array(*words))
 
 
-def _code_sql(vector: str) -> str:
-    return f"aggregate(`{vector}`, 0L, (c, x) -> shiftleft(c, 1) | cast(x > 0 as bigint))"
+def _segment(code: str, per: int) -> Column:
+    """Value of the segment that column ``segment`` names, of ``per`` a word."""
+    width = WORD // per
+    return F.expr(f"cast(shiftrightunsigned({code}[segment div {per}], cast(segment % {per} * {width} as int)) & {2**width - 1} as int)")
 
 
-def _segment(code: str, width: int) -> Column:
-    """Value of the segment that column ``segment`` names."""
-    return F.expr(f"cast(shiftrightunsigned({code}, segment * {width}) & {2**width - 1} as int)")
-
-
-def _verify(keep: int):
-    """(query, codes, least ids, sizes) -> the nearest classes of each batch and query."""
+def _verify(keep: int, words: int):
+    """(queries, codes, least ids, sizes) of two chunks that meet -> the nearest classes of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            query, codes = batch.column(0).to_numpy(), batch.column(1)
-            least, weight = (batch.column(k).flatten().to_numpy() for k in (2, 3))
-            length = np.diff(codes.offsets.to_numpy())
-            row = np.repeat(np.arange(len(query)), length)
-            flat = codes.flatten().to_numpy()
-            away = np.bitwise_count((flat ^ query[row]).view(np.uint64)).astype(np.int32)
-            _, group = np.unique(query, return_inverse=True)
-            group = group[row]
-            order = np.lexsort((least, away, group))
-            g, c = group[order], least[order]
-            first = np.concatenate(([True], g[1:] != g[:-1]))
-            new = first | np.concatenate(([True], c[1:] != c[:-1]))  # a class met in two segments counts once
-            order, g = order[new], g[new]
-            first = np.concatenate(([True], g[1:] != g[:-1]))
-            start = np.flatnonzero(first)
-            nth = np.arange(len(g)) - np.repeat(start, np.diff(np.concatenate((start, [len(g)]))))
-            pick = order[nth < keep]
-            yield pa.RecordBatch.from_arrays([pa.array(query[row[pick]]), pa.array(away[pick]), pa.array(least[pick]), pa.array(weight[pick])], names=["query", "distance", "least", "n"])
+            found: list[list[np.ndarray]] = [[], [], [], []]
+            for k in range(batch.num_rows):
+                queries, codes = (np.asarray(batch.column(c)[k].values).reshape(-1, words) for c in (0, 1))
+                least, weight = (np.asarray(batch.column(c)[k].values) for c in (2, 3))
+                away = np.zeros((len(queries), len(codes)), np.int32)
+                for w in range(words):
+                    away += np.bitwise_count((queries[:, w, None] ^ codes[None, :, w]).view(np.uint64))
+                order = np.argsort(least, kind="stable")
+                # by distance, then least id: a stable sort of columns in the order of ids
+                near = order[np.argsort(away[:, order], axis=1, kind="stable")[:, :keep]]
+                row = np.repeat(np.arange(len(queries)), near.shape[1])
+                pick = near.ravel()
+                for part, value in zip(found, (queries[row], away[row, pick], least[pick], weight[pick]), strict=True):
+                    part.append(value)
+            if found[0]:
+                query, distance, ids, n = (np.concatenate(x) for x in found)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, query.size + 1, words, dtype=np.int32)), pa.array(query.ravel()))
+                yield pa.RecordBatch.from_arrays([lists, pa.array(distance), pa.array(ids), pa.array(n)], names=["query", "distance", "least", "n"])
 
     return run
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec_id", code: Column | None = None) -> DataFrame:
-    """query_id, rank, neighbor_id, distance: the k nearest other rows of each query row."""
-    code = sign_code("embedding") if code is None else code
+def _chunked(rows: DataFrame, code: str, size: int) -> DataFrame:
+    """Rows with the chunk, of ``size`` rows or so, that they belong to in their bucket."""
+    extent = rows.groupBy("segment", "value").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("chunks"))
+    return attach(rows, ["segment", "value"], extent, by=[code]).withColumn("chunk", F.pmod(F.xxhash64(code), F.col("chunks"))).drop("chunks")
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec_id", code: Column | None = None, vector: str = "embedding") -> DataFrame:
+    """query_id, rank, neighbor_id, distance: the k nearest other rows of each query row.
+
+    ``code`` gives words of 64 bits where codes exist already; else the signs of ``vector`` are the code.
+    """
+    if code is None:
+        code = sign_code(vector, rows.agg(F.max(F.size(vector))).first()[0] or 1)
     coded = rows.select(F.col(row_id).cast("long").alias("id"), code.alias("code"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("id is not null and code is not null")
     coded = stored(coded, "codes")
+    words = coded.agg(F.max(F.size("code"))).first()[0] or 1
     # row_number with a limit is cut down before the exchange, so a class sends k + 1 rows a task
     least = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     few = coded.withColumn("nth", least).where(F.col("nth") <= k + 1)
     classes = stored(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("least"), F.count(F.lit(1)).cast("int").alias("n")), "classes")
-    segments = SEGMENTS_FEW if classes.count() <= FEW else SEGMENTS_MANY
-    width = BITS // segments
+    per = SEGMENTS_FEW if classes.count() <= FEW else SEGMENTS_MANY
+    width, segments = WORD // per, per * words
     all_segments = F.explode(F.sequence(F.lit(0), F.lit(segments - 1)))
-    listed = classes.select("code", "least", "n", all_segments.alias("segment")).withColumn("value", _segment("code", width))
-    extent = F.broadcast(listed.groupBy("segment", "value").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))  # a row for each segment and value: 2,048, or 262,144 with wide segments
-    chunked = listed.join(extent, ["segment", "value"]).withColumn("chunk", F.pmod(F.xxhash64("code"), F.col("chunks")))
-    index = stored(chunked.groupBy("segment", "value", "chunk").agg(F.collect_list("code").alias("codes"), F.collect_list("least").alias("leasts"), F.collect_list("n").alias("sizes")), "segments")
+    listed = classes.select("code", "least", "n", all_segments.alias("segment")).withColumn("value", _segment("code", per))
+    lists = (F.flatten(F.collect_list("code")).alias("codes"), F.collect_list("least").alias("leasts"), F.collect_list("n").alias("sizes"))
+    index = stored(_chunked(listed, "code", CHUNK).groupBy("segment", "value", "chunk").agg(*lists).drop("chunk"), "segments")
     asked = coded.where("asks").select(F.col("code").alias("query")).distinct()
     active, done, best = stored(asked, "queries"), [], None
     spread = 0
     while True:
         masks = [sum(1 << b for b in bits) for bits in combinations(range(width), spread)]
-        probes = active.select("query", all_segments.alias("segment")).withColumn("own", _segment("query", width))
+        probes = active.select("query", all_segments.alias("segment")).withColumn("own", _segment("query", per))
         probes = probes.select("query", "segment", F.explode(F.array(*(F.lit(m) for m in masks))).alias("mask"), "own").select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).cast("int").alias("value"))
-        met = probes.join(index, ["segment", "value"]).select("query", "codes", "leasts", "sizes").mapInArrow(_verify(k + 1), "query long, distance int, least long, n int")
+        asking = _chunked(probes, "query", ASKING).groupBy("segment", "value", "chunk").agg(F.flatten(F.collect_list("query")).alias("queries"))
+        met = asking.join(index, ["segment", "value"]).select("queries", "codes", "leasts", "sizes")
+        met = met.mapInArrow(_verify(k + 1, words), "query array<long>, distance int, least long, n int")
         if best is not None:
             met = met.unionByName(best.select("query", F.inline("top")))
         top = F.slice(F.array_sort(F.collect_set(F.struct("distance", "least", "n"))), 1, k + 1)
         ranked = met.groupBy("query").agg(top.alias("top"))
         # distance of the (k + 1)th row, the query row itself among them
-        reached = F.expr(f"aggregate(top, named_struct('seen', 0, 'd', {BITS + 1}), (a, x) -> if(a.seen > {k}, a, named_struct('seen', a.seen + x.n, 'd', if(a.seen + x.n > {k}, x.distance, {BITS + 1}))))").getField("d")
+        far = WORD * words + 1
+        reached = F.expr(f"aggregate(top, named_struct('seen', 0, 'd', {far}), (a, x) -> if(a.seen > {k}, a, named_struct('seen', a.seen + x.n, 'd', if(a.seen + x.n > {k}, x.distance, {far}))))").getField("d")
         ranked = stored(ranked.withColumn("reached", reached), "nearest")
         covered = segments * (spread + 1) - 1
         done.append(ranked.where(F.col("reached") <= covered) if spread < width else ranked)
@@ -140,7 +156,7 @@ SQL = {
     "op3_hamming_search": """
 WITH d AS (
   SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id,
-         list_sum(list_transform(range(1, 65), lambda i: ((q.embedding[i] > 0) <> (r.embedding[i] > 0))::INT))::BIGINT AS distance
+         list_sum(list_transform(range(1, greatest(len(q.embedding), len(r.embedding)) + 1), lambda i: (coalesce(q.embedding[i] > 0, false) <> coalesce(r.embedding[i] > 0, false))::INT))::BIGINT AS distance
   FROM embeddings q JOIN embeddings r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
 SELECT query_id, rank, neighbor_id, distance FROM n WHERE rank <= 10"""
