@@ -84,57 +84,220 @@ def facts(text: Column) -> Column:
     return listed(text)
 
 
-def _problem(value, schema, path: str) -> str | None:
-    """First violation of a JSON Schema subset, '!' before it where the schema itself is wrong."""
-    if schema is True or schema == {}:
-        return None
-    if not isinstance(schema, dict):
-        return f"!{path or '<root>'}: a schema must be an object"
-    kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": int | float}
-    want = schema.get("type")
-    if want is not None:
-        names = want if isinstance(want, list) else [want]
-        if any(n not in kinds for n in names):
-            return f"!{path or '<root>'}: unknown type"
-        if not any(isinstance(value, kinds[n]) and not (isinstance(value, bool) and n in ("integer", "number")) or n == "integer" and isinstance(value, float) and value.is_integer() for n in names):
-            return f"{path or '<root>'}: not of type {names}"
-    if "enum" in schema and value not in schema["enum"]:
-        return f"{path or '<root>'}: not one of the listed values"
-    if "const" in schema and value != schema["const"]:
-        return f"{path or '<root>'}: not the constant"
-    if isinstance(value, dict):
-        for key in schema.get("required", []):
-            if key not in value:
-                return f"{path or '<root>'}: {key} is required"
-        inner = schema.get("properties", {})
-        for key, child in value.items():
-            at = f"{path}.{key}" if path else key
-            if key in inner:
-                if found := _problem(child, inner[key], at):
-                    return found
-            elif schema.get("additionalProperties", True) is False:
-                return f"{at}: not allowed"
-            elif isinstance(schema.get("additionalProperties"), dict) and (found := _problem(child, schema["additionalProperties"], at)):
-                return found
-    if isinstance(value, list):
-        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
-            return f"{path or '<root>'}: number of items"
-        for k, child in enumerate(value):
-            if "items" in schema and (found := _problem(child, schema["items"], f"{path}[{k}]")):
-                return found
-    if isinstance(value, str):
-        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
-            return f"{path or '<root>'}: length"
-        if "pattern" in schema:
+#: Types, and keywords that say nothing about a value.
+TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": int | float}
+NOTES = {"$schema", "$id", "$comment", "$defs", "definitions", "title", "description", "default", "examples", "format", "deprecated", "readOnly", "writeOnly", "contentMediaType", "contentEncoding"}
+#: Where ``$ref`` chains end.
+MOST_REFS = 32
+
+
+class SchemaError(Exception):
+    """The schema itself is wrong."""
+
+
+def _same(a, b) -> bool:
+    """JSON equality: true isn't 1, and 1 is 1.0."""
+    if isinstance(a, bool) != isinstance(b, bool):
+        return False
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return a == b
+
+
+def _is_type(value, name: str) -> bool:
+    if name not in TYPES:
+        raise SchemaError(f"unknown type {name}")
+    if isinstance(value, bool):
+        return name == "boolean"
+    return isinstance(value, TYPES[name]) or name == "integer" and isinstance(value, float) and value.is_integer()
+
+
+def _matches(pattern: str, text: str) -> bool:
+    try:
+        return re.search(pattern, text) is not None
+    except re.error as e:
+        raise SchemaError(f"invalid pattern {pattern}") from e
+
+
+class _Schema:
+    """Validation of one value by a JSON Schema; ``problem`` is the first violation or None."""
+
+    def __init__(self, root):
+        self.root = root
+
+    def resolved(self, ref: str):
+        if not isinstance(ref, str) or not ref.startswith("#"):
+            raise SchemaError(f"$ref {ref} leaves the schema")
+        at = self.root
+        for part in (p.replace("~1", "/").replace("~0", "~") for p in ref[1:].split("/")[1:]):
             try:
-                if not re.search(schema["pattern"], value):
-                    return f"{path or '<root>'}: pattern"
-            except re.error:
-                return f"!{path or '<root>'}: invalid pattern"
-    if isinstance(value, int | float) and not isinstance(value, bool):
-        if not schema.get("minimum", value) <= value <= schema.get("maximum", value):
-            return f"{path or '<root>'}: range"
-    return None
+                at = at[int(part)] if isinstance(at, list) else at[part]
+            except (KeyError, IndexError, ValueError, TypeError) as e:
+                raise SchemaError(f"$ref {ref} leads nowhere") from e
+        return at
+
+    def holds(self, value, schema, refs: int) -> bool:
+        return self.problem(value, schema, "", refs) is None
+
+    def problem(self, value, schema, path: str, refs: int = 0) -> str | None:
+        if schema is True or schema == {}:
+            return None
+        here = path or "<root>"
+        if schema is False:
+            return f"{here}: nothing is allowed"
+        if not isinstance(schema, dict):
+            raise SchemaError("a schema must be an object")
+        for keyword, wanted in schema.items():
+            if keyword in NOTES or keyword in ("then", "else", "minContains", "maxContains"):
+                continue
+            rule = getattr(self, f"k_{keyword.replace('$', '')}", None)
+            if rule is None:
+                raise SchemaError(f"unknown keyword {keyword}")
+            try:
+                found = rule(value, wanted, schema, path, refs)
+            except TypeError as e:
+                raise SchemaError(f"{keyword}: {e}") from e
+            if found:
+                return found if ": " in found else f"{here}: {found}"
+        return None
+
+    def k_ref(self, value, wanted, schema, path, refs):
+        if refs > MOST_REFS:
+            raise SchemaError(f"$ref {wanted} doesn't end")
+        return self.problem(value, self.resolved(wanted), path, refs + 1)
+
+    def k_type(self, value, wanted, schema, path, refs):
+        names = wanted if isinstance(wanted, list) else [wanted]
+        return None if any([_is_type(value, n) for n in names]) else f"not of type {' or '.join(map(str, names))}"
+
+    def k_enum(self, value, wanted, schema, path, refs):
+        return None if any(_same(value, x) for x in wanted) else "not one of the listed values"
+
+    def k_const(self, value, wanted, schema, path, refs):
+        return None if _same(value, wanted) else "not the constant"
+
+    def k_allOf(self, value, wanted, schema, path, refs):  # noqa: N802
+        return next((p for s in wanted if (p := self.problem(value, s, path, refs))), None)
+
+    def k_anyOf(self, value, wanted, schema, path, refs):  # noqa: N802
+        return None if any([self.holds(value, s, refs) for s in wanted]) else "none of anyOf holds"
+
+    def k_oneOf(self, value, wanted, schema, path, refs):  # noqa: N802
+        n = sum(self.holds(value, s, refs) for s in wanted)
+        return None if n == 1 else f"{n} of oneOf hold"
+
+    def k_not(self, value, wanted, schema, path, refs):
+        return "what not names holds" if self.holds(value, wanted, refs) else None
+
+    def k_if(self, value, wanted, schema, path, refs):
+        return self.problem(value, schema.get("then" if self.holds(value, wanted, refs) else "else", True), path, refs)
+
+    def k_required(self, value, wanted, schema, path, refs):
+        return next((f"{k} is required" for k in wanted if k not in value), None) if isinstance(value, dict) else None
+
+    def k_dependentRequired(self, value, wanted, schema, path, refs):  # noqa: N802
+        if not isinstance(value, dict):
+            return None
+        return next((f"{k} is required beside {own}" for own, more in wanted.items() if own in value for k in more if k not in value), None)
+
+    def _members(self, value, schemas: dict, path, refs):
+        return next((p for k, s in schemas.items() if k in value and (p := self.problem(value[k], s, f"{path}.{k}" if path else k, refs))), None)
+
+    def k_properties(self, value, wanted, schema, path, refs):
+        return self._members(value, wanted, path, refs) if isinstance(value, dict) else None
+
+    def k_patternProperties(self, value, wanted, schema, path, refs):  # noqa: N802
+        if not isinstance(value, dict):
+            return None
+        return next((p for pattern, s in wanted.items() if (p := self._members(value, {k: s for k in value if _matches(pattern, k)}, path, refs))), None)
+
+    def k_additionalProperties(self, value, wanted, schema, path, refs):  # noqa: N802
+        if not isinstance(value, dict):
+            return None
+        others = [k for k in value if k not in schema.get("properties", {}) and not any(_matches(p, k) for p in schema.get("patternProperties", {}))]
+        if wanted is False:
+            return f"{path}.{others[0]}: not allowed".removeprefix(".") if others else None
+        return self._members(value, dict.fromkeys(others, wanted), path, refs)
+
+    def k_propertyNames(self, value, wanted, schema, path, refs):  # noqa: N802
+        return next((f"name {k}" for k in value if not self.holds(k, wanted, refs)), None) if isinstance(value, dict) else None
+
+    def k_minProperties(self, value, wanted, schema, path, refs):  # noqa: N802
+        return "number of properties" if isinstance(value, dict) and len(value) < wanted else None
+
+    def k_maxProperties(self, value, wanted, schema, path, refs):  # noqa: N802
+        return "number of properties" if isinstance(value, dict) and len(value) > wanted else None
+
+    def k_prefixItems(self, value, wanted, schema, path, refs):  # noqa: N802
+        if not isinstance(value, list):
+            return None
+        return next((p for k, (x, s) in enumerate(zip(value, wanted, strict=False)) if (p := self.problem(x, s, f"{path}[{k}]", refs))), None)
+
+    def k_items(self, value, wanted, schema, path, refs):
+        if not isinstance(value, list):
+            return None
+        if isinstance(wanted, list):
+            return self.k_prefixItems(value, wanted, schema, path, refs)
+        first = len(schema.get("prefixItems", []))
+        return next((p for k, x in enumerate(value[first:], first) if (p := self.problem(x, wanted, f"{path}[{k}]", refs))), None)
+
+    def k_contains(self, value, wanted, schema, path, refs):
+        if not isinstance(value, list):
+            return None
+        n = sum(self.holds(x, wanted, refs) for x in value)
+        return None if schema.get("minContains", 1) <= n <= schema.get("maxContains", n) else f"contains holds for {n} items"
+
+    def k_minItems(self, value, wanted, schema, path, refs):  # noqa: N802
+        return "number of items" if isinstance(value, list) and len(value) < wanted else None
+
+    def k_maxItems(self, value, wanted, schema, path, refs):  # noqa: N802
+        return "number of items" if isinstance(value, list) and len(value) > wanted else None
+
+    def k_uniqueItems(self, value, wanted, schema, path, refs):  # noqa: N802
+        if not wanted or not isinstance(value, list):
+            return None
+        return "items repeat" if any(_same(x, y) for k, x in enumerate(value) for y in value[:k]) else None
+
+    def k_minLength(self, value, wanted, schema, path, refs):  # noqa: N802
+        return "length" if isinstance(value, str) and len(value) < wanted else None
+
+    def k_maxLength(self, value, wanted, schema, path, refs):  # noqa: N802
+        return "length" if isinstance(value, str) and len(value) > wanted else None
+
+    def k_pattern(self, value, wanted, schema, path, refs):
+        return "pattern" if isinstance(value, str) and not _matches(wanted, value) else None
+
+    @staticmethod
+    def _is_number(value) -> bool:
+        return isinstance(value, int | float) and not isinstance(value, bool)
+
+    def k_minimum(self, value, wanted, schema, path, refs):
+        return "range" if self._is_number(value) and value < wanted else None
+
+    def k_maximum(self, value, wanted, schema, path, refs):
+        return "range" if self._is_number(value) and value > wanted else None
+
+    def k_exclusiveMinimum(self, value, wanted, schema, path, refs):  # noqa: N802
+        return "range" if self._is_number(value) and value <= wanted else None
+
+    def k_exclusiveMaximum(self, value, wanted, schema, path, refs):  # noqa: N802
+        return "range" if self._is_number(value) and value >= wanted else None
+
+    def k_multipleOf(self, value, wanted, schema, path, refs):  # noqa: N802
+        if not self._is_number(value):
+            return None
+        ratio = value / wanted if isinstance(wanted, float) or isinstance(value, float) else value % wanted
+        return None if (float(ratio).is_integer() if isinstance(ratio, float) else ratio == 0) else "not a multiple"
+
+
+def _problem(value, schema) -> str | None:
+    """First violation of a JSON Schema; '!' before it where the schema itself is wrong or says what isn't known."""
+    try:
+        return _Schema(schema).problem(value, schema, "")
+    except SchemaError as e:
+        return f"!{e}"
 
 
 @F.pandas_udf(T.StringType())
@@ -149,9 +312,9 @@ def schema_problem(text: pd.Series, schema: pd.Series) -> pd.Series:
         except ValueError:
             return "!<root>: the schema is not JSON"
         try:
-            return _problem(_load(t), wanted, "")
-        except (ValueError, TypeError) as e:
-            return f"<root>: {e}" if isinstance(e, ValueError) else f"!<root>: {e}"
+            return _problem(_load(t), wanted)
+        except ValueError as e:
+            return f"<root>: {e}"
 
     return pd.Series([one(t, s) for t, s in zip(text, schema, strict=True)], dtype=object)
 

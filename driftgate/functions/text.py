@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as the logs' producers see it: wider than Java's default class.
-SPACE = "[\\s\u001c-\u001f\u0085   -     　]"
+SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 #: Phrases that open a refusal, and how far into the text they are looked for.
 REFUSALS = (

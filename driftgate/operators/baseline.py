@@ -52,6 +52,14 @@ def lookup(cases: DataFrame, prefix: str) -> DataFrame:
     return cases.where(exact | F.col("case_id").startswith(prefix)).orderBy(F.desc(exact), "case_id").limit(2)
 
 
+def preview(messages: Column, width: int = 80) -> Column:
+    """The last user message on one line, else the last message, else nothing."""
+    asked = F.filter(messages, lambda m: m["role"] == "user")
+    last = F.coalesce(F.try_element_at(asked, F.lit(-1))["content"], F.try_element_at(messages, F.lit(-1))["content"], F.lit(""))
+    line = F.trim(F.regexp_replace(last, r"[\r\n]+", " "))
+    return F.when(F.length(line) > width, F.concat(F.substring(line, 1, width - 1), F.lit("…"))).otherwise(line)
+
+
 def merged_tags(own: Column, more: Sequence[str]) -> Column:
     """Distinct tags in order, own first."""
     return F.array_distinct(F.concat(F.coalesce(own, F.array().cast("array<string>")), F.array(*(F.lit(t) for t in more)).cast("array<string>")))

@@ -13,10 +13,6 @@ from pyspark.sql import types as T
 MISSING = "∅"
 
 
-def _leaves(pairs: DataFrame, side: str) -> DataFrame:
-    return pairs.select("case_id", F.explode(f"{side}_facts.leaves").alias("path", side))
-
-
 def _kind(before: str, after: str) -> Column:
     return F.when(F.col(after).isNull(), "removed").when(F.col(before).isNull(), "added").when(F.coalesce(F.col(before).try_cast("double") == F.col(after).try_cast("double"), F.lit(False)), None).when(F.col(before) != F.col(after), "changed")
 
@@ -26,8 +22,12 @@ def json_changes(pairs: DataFrame) -> DataFrame:
 
     Equal numbers are unchanged whatever their spelling (1 and 1.0).
     """
-    both = pairs.where("base_facts.is_json and cand_facts.is_json")
-    joined = _leaves(both, "base").join(_leaves(both, "cand"), ["case_id", "path"], "full")
+    # a generator of one row: a filter pushed below it would walk each document once more
+    both = pairs.select("case_id", F.inline(F.array(F.struct("base_facts", "cand_facts")))).where("base_facts.is_json and cand_facts.is_json")
+    leaves = lambda side: F.transform(F.map_entries(f"{side}_facts.leaves"), lambda x: F.struct(F.lit(side).alias("side"), x["key"].alias("path"), x["value"].alias("value")))
+    rows = both.select("case_id", F.inline(F.concat(leaves("base"), leaves("cand"))))
+    # a path has at most one leaf a side, so this is their full join, in one shuffle
+    joined = rows.groupBy("case_id", "path").agg(*(F.max(F.when(F.col("side") == side, F.col("value"))).alias(side) for side in ("base", "cand")))
     return joined.withColumn("kind", _kind("base", "cand")).where("kind is not null").select("case_id", "path", "kind", F.col("base").alias("before"), F.col("cand").alias("after"))
 
 
@@ -57,10 +57,32 @@ def described(change: DataFrame, width: int = 60) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def prose_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Unified diff of texts wrapped at 88 columns, two lines of context."""
+    """Unified diff of whole texts wrapped at 88 columns, two lines of context."""
 
     def one(a, b):
-        lines = [[w for line in (t or "")[:4000].splitlines() for w in textwrap.wrap(line, 88) or [""]] for t in (a, b)]
+        lines = [[w for line in (t or "").splitlines() for w in textwrap.wrap(line, 88) or [""]] for t in (a, b)]
         return list(difflib.unified_diff(*lines, "baseline", "candidate", n=2, lineterm=""))
 
     return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)])
+
+
+def output_changes(pairs: DataFrame) -> DataFrame:
+    """case_id, part and line of pairs with facts: calls always, fields where both sides are JSON, else prose."""
+    tools = tool_changes(pairs).withColumn("path", F.concat("name", F.lit("#"), F.col("nth").cast("string")))
+    both = F.col("base_facts.is_json") & F.col("cand_facts.is_json")
+    prose = pairs.select("case_id", both.alias("both"), "base_text", "cand_text", F.explode(F.array(F.lit(True)))).where(~F.col("both") & ~F.col("base_text").eqNullSafe(F.col("cand_text")))
+    parts = {
+        "call": described(tools).select("case_id", "line"),
+        "field": described(json_changes(pairs)).select("case_id", "line"),
+        "text": prose.select("case_id", F.explode(prose_diff("base_text", "cand_text")).alias("line")),
+    }
+    first, *rest = (rows.select("case_id", F.lit(part).alias("part"), "line") for part, rows in parts.items())
+    for rows in rest:
+        first = first.unionByName(rows)
+    return first
+
+
+def summary(counted: DataFrame) -> DataFrame:
+    """``counts`` with one line of text: '1 removed, 2 changed'."""
+    named = (F.when(F.col(k) > 0, F.concat(F.col(k).cast("string"), F.lit(f" {k}"))) for k in ("removed", "added", "changed"))
+    return counted.withColumn("summary", F.array_join(F.array_compact(F.array(*named)), ", "))

@@ -24,7 +24,20 @@ class Provider(Protocol):
     def complete(self, case_id: str, prompt: str) -> str: ...
 
 
-SCHEMA = "case_id string, cand_text string, cand_finish string, error string, attempts int"
+class Scripted:
+    """A provider without a model: replies by case id, else the prompt itself; the first ``fail_times`` calls of a case fail."""
+
+    def __init__(self, replies: dict[str, str] | None = None, fail_times: int = 0):
+        self.replies, self.fail_times, self.calls = replies or {}, fail_times, {}
+
+    def complete(self, case_id: str, prompt: str) -> str:
+        self.calls[case_id] = self.calls.get(case_id, 0) + 1
+        if self.calls[case_id] <= self.fail_times:
+            raise Transient(f"scripted failure {self.calls[case_id]}")
+        return self.replies.get(case_id, prompt)
+
+
+SCHEMA = "case_id string, cand_text string, cand_finish string, error string, attempts int, duration_ms long"
 
 
 def delays(attempts: int, base: float, cap: float, seed: int) -> Iterator[float]:
@@ -35,13 +48,14 @@ def delays(attempts: int, base: float, cap: float, seed: int) -> Iterator[float]
 
 
 def replay(cases: DataFrame, provider: Callable[[], Provider], retries: int = 2, base: float = 1.0, cap: float = 30.0) -> DataFrame:
-    """case_id, cand_text, cand_finish, error, attempts of cases (case_id, prompt); errors are rows, never failures."""
+    """case_id, cand_text, cand_finish, error, attempts, duration_ms of cases (case_id, prompt); errors are rows, never failures."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = provider()
         for batch in batches:
             rows = []
             for case_id, prompt in zip(batch["case_id"], batch["prompt"], strict=True):
+                began = time.monotonic()
                 waits, text, error, tried = delays(retries, base, cap, zlib.crc32(str(case_id).encode())), None, None, 0
                 while True:
                     tried += 1
@@ -55,8 +69,8 @@ def replay(cases: DataFrame, provider: Callable[[], Provider], retries: int = 2,
                     except Exception as e:  # noqa: BLE001
                         error = f"{type(e).__name__}: {e}"
                     break
-                rows.append((case_id, text, None if text is None else "stop", error, tried))
-            yield pd.DataFrame(rows, columns=["case_id", "cand_text", "cand_finish", "error", "attempts"])
+                rows.append((case_id, text, None if text is None else "stop", error, tried, int(1000 * (time.monotonic() - began))))
+            yield pd.DataFrame(rows, columns=["case_id", "cand_text", "cand_finish", "error", "attempts", "duration_ms"])
 
     return cases.select("case_id", "prompt").mapInPandas(run, SCHEMA)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgate.functions import redaction
-from driftgate.operators import baseline
+from driftgate.operators import baseline, judge
 from driftgate.plans import views
 from driftgate.sources import logs
 
@@ -26,7 +26,7 @@ def dedup_against_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fingerprint_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = views.table(spark, sf_dir, "conversations").where("role = 'user'")
-    return turns.select("conv_id", "turn", F.substring(F.sha2(F.concat_ws("\n", "role", "text"), 256), 1, 16).alias("case_id"))
+    return turns.select("conv_id", "turn", baseline.fingerprint(F.col("role"), F.col("text")).alias("case_id"))
 
 
 def baseline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def redact_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values taken out by each of the personal-data rules, one after the other."""
-    found = redaction.redact(views.table(spark, sf_dir, "documents"), "text", ("pii",), counts="found")
+    """Values taken out by each of the rules, one after the other."""
+    found = redaction.redact(views.table(spark, sf_dir, "documents"), "text", counts="found")
     return found.select(F.explode("found").alias("rule", "n")).groupBy("rule").agg(F.sum("n").alias("n"))
 
 
@@ -80,7 +80,59 @@ def capture_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.rejected(logs.parsed(log_lines(spark, sf_dir))).select("position", "reason")
 
 
+def tool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proxy log lines, one an order, whose answer is a call for each line item."""
+    calls = F.transform("base_tools", lambda t: F.struct(t.alias("function")))
+    answer = F.struct(F.array(F.struct(F.struct(calls.alias("tool_calls")).alias("message"))).alias("choices"))
+    ask = F.struct(F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("ship "), "case_id").alias("content"))).alias("messages"))
+    return views.tool_pairs(spark, sf_dir).select("position", F.to_json(F.struct(ask.alias("request"), answer.alias("response"))).alias("value"))
+
+
+def capture_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = logs.accepted(logs.parsed(tool_lines(spark, sf_dir)))
+    calls = good.select("position", F.posexplode("base_tools").alias("nth", "t"))
+    return calls.select("position", F.col("nth").cast("long").alias("nth"), F.col("t.name").alias("name"), F.col("t.arguments").alias("arguments"))
+
+
+def secret_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with a secret or an address in each place where a case holds text."""
+    p = views.text_pairs(spark, sf_dir)
+    key = F.concat(F.lit("ghp_"), F.substring(F.sha2("case_id", 256), 1, 36))
+    mail = F.concat(F.lit("u"), F.col("conv_id").cast("string"), F.lit("@example.com"))
+    call = lambda text: F.array(F.struct(F.lit("send").alias("name"), text.alias("arguments")))
+    asked = F.concat(F.lit('{"token":"'), key, F.lit('","to":["'), mail, F.lit('",1,null],"u1@example.com":true}'))
+    said = F.concat(F.lit('{"note":"say \\"hi\\" to '), mail, F.lit('"}'))
+    message = F.struct(F.lit("user").alias("role"), F.concat("prompt", F.lit(" "), mail).alias("content"), call(asked).alias("tool_calls"))
+    return p.select("position", F.array(message).alias("messages"), F.concat("base_text", F.lit(" "), key).alias("base_text"), call(said).alias("base_tools"))
+
+
+def redact_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = redaction.redact_case(secret_cases(spark, sf_dir))
+    first = F.get("messages", F.lit(0))
+    return done.select("position", first["content"].alias("content"), F.get(first["tool_calls"], F.lit(0))["arguments"].alias("asked"), "base_text", F.get("base_tools", F.lit(0))["arguments"].alias("said"), "redacted")
+
+
+def input_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = logs.accepted(logs.parsed(log_lines(spark, sf_dir)))
+    return good.select("position", baseline.preview(F.col("messages"), 40).alias("preview"))
+
+
+def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of six kinds: sound, fenced, prose, another verdict, a confidence out of range and one in words."""
+    k = F.col("position") % 6
+    sound = F.lit('{"verdict": "acceptable", "confidence": 0.5, "rationale": "same facts"}')
+    reply = (
+        F.when(k == 0, sound).when(k == 1, F.concat(F.lit("```json\n"), sound, F.lit("\n```"))).when(k == 2, "I think it is fine")
+        .when(k == 3, '{"verdict": "splendid", "confidence": 1}').when(k == 4, '{"verdict": "broken", "confidence": 5}').otherwise('{"verdict": "equivalent", "confidence": "high"}')
+    )
+    return judge.replies(views.text_pairs(spark, sf_dir).select("case_id", reply.alias("cand_text")))
+
+
 QUERIES = {
+    "capture_tools": capture_tools,
+    "redact_case": redact_case,
+    "input_previews": input_previews,
+    "judge_replies": judge_replies,
     "dedup_first_wins": dedup_first_wins,
     "dedup_against_store": dedup_against_store,
     "fingerprint_ids": fingerprint_ids,
@@ -94,12 +146,55 @@ QUERIES = {
 }
 
 _EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
+
+
+def _sql_rule(rule: redaction.Rule, before: str) -> str:
+    """The rule as a step over a table of doc_id and text; ``n`` counts what it takes out."""
+    pattern = rule.pattern.replace("{0,8192}?", "*?").replace("'", "''")
+    found = lambda g: f"regexp_extract_all(text, '{pattern}', {g})"
+    goes = "true"
+    if rule.name == "credit_card":
+        digit = "d[len(d) - i + 1]::INT"
+        luhn = f"list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digit} WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END)) % 10 = 0"
+        d = "regexp_replace(v, '[ -]', '', 'g')"
+        goes = f"len({d}) >= 13 AND {luhn.replace('d[', f'({d})[').replace('len(d)', f'len({d})')}"
+    parts = [found(k) for k in (1, 2, 3)] if rule.grouped else [f"list_transform({found(0)}, lambda v: '')", found(0), f"list_transform({found(0)}, lambda v: '')"]
+    new = f"list_transform(b, lambda v: CASE WHEN {goes} THEN '[REDACTED:{rule.name}:' || substr(sha256(v), 1, 8) || ']' ELSE v END)"
+    return f"""(SELECT doc_id, len(list_filter(b, lambda v: {goes})) AS n,
+      array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i <= len(t) THEN a[i] || t[i] || c[i] ELSE '' END), '') AS text
+    FROM (SELECT *, {new} AS t FROM (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS p, {parts[0]} AS a, {parts[1]} AS b, {parts[2]} AS c FROM {before})))"""
+
+
+def _sql_redacted() -> tuple[str, str]:
+    """Steps of all rules, one after the other, and the name of the last."""
+    steps, before = [], "documents"
+    for k, rule in enumerate(redaction.RULES):
+        steps.append(f"r{k} AS MATERIALIZED {_sql_rule(rule, before)}")
+        before = f"r{k}"
+    return "WITH " + ",\n".join(steps), before
+
+
+_STEPS, _LAST = _sql_redacted()
+_MAIL = "'u' || conv_id || '@example.com'"
+_TOKEN = "'[REDACTED:{0}:' || substr(sha256({1}), 1, 8) || ']'"
+_KEY_GONE, _MAIL_GONE = _TOKEN.format("github_token", "'ghp_' || substr(sha256(case_id), 1, 36)"), _TOKEN.format("email", _MAIL)
 _T = f"WITH {views.SQL_TEXT.strip()}"
 _K = "(conv_id + turn) % 6"
 SQL = {
+    "capture_tools": """SELECT l_orderkey AS position, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, lower(l_linestatus) || lower(l_returnflag)) - 1 AS nth,
+  'ship_' || lower(l_linestatus) || lower(l_returnflag) AS name, '{"part":' || l_partkey || ',"line":' || l_linenumber || '}' AS arguments FROM lineitem""",
+    "redact_case": f"""{_T} SELECT position, prompt || ' ' || {_MAIL_GONE} AS content, '{{"token":"' || {_KEY_GONE} || '","to":["' || {_MAIL_GONE} || '",1,null],"u1@example.com":true}}' AS asked,
+  base_text || ' ' || {_KEY_GONE} AS base_text, '{{"note":"say \\"hi\\" to ' || {_MAIL_GONE} || '"}}' AS said, true AS redacted FROM pairs""",
+    "input_previews": f"""{_T}, q AS (SELECT position, trim(regexp_replace(prompt, '[\\r\\n]+', ' ', 'g')) AS line FROM pairs WHERE {_K} < 4)
+SELECT position, CASE WHEN length(line) > 40 THEN substr(line, 1, 39) || '…' ELSE line END AS preview FROM q""",
+    "judge_replies": f"""{_T} SELECT case_id, CASE position % 6 WHEN 0 THEN 'acceptable' WHEN 1 THEN 'acceptable' WHEN 4 THEN 'broken' WHEN 5 THEN 'equivalent' END AS verdict,
+  CASE position % 6 WHEN 0 THEN 0.5 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence,
+  CASE position % 6 WHEN 0 THEN 'same facts' WHEN 1 THEN 'same facts' WHEN 2 THEN 'judge gave no verdict' WHEN 3 THEN 'judge gave no verdict' ELSE '' END AS note FROM pairs""",
+    "redact_all": f"{_STEPS} SELECT doc_id, sha256(text) AS text_sha256 FROM {_LAST}",
+    "redaction_counts": _STEPS + " SELECT rule, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT '{r.name}' AS rule, n FROM r{k}" for k, r in enumerate(redaction.RULES)) + ") GROUP BY rule HAVING sum(n) > 0",
     "dedup_first_wins": "SELECT sha256(text) AS case_id, min(doc_id) AS position FROM documents GROUP BY text",
     "dedup_against_store": "SELECT sha256(text) AS case_id, min(doc_id) AS position FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE source = 'src0') GROUP BY text",
-    "fingerprint_ids": "SELECT conv_id, turn, substr(sha256(role || chr(10) || text), 1, 16) AS case_id FROM conversations WHERE role = 'user'",
+    "fingerprint_ids": "SELECT conv_id, turn, substr(sha256(to_json({'p0': role, 'p1': text})::VARCHAR), 1, 16) AS case_id FROM conversations WHERE role = 'user'",
     "baseline_stats": f"{_T} SELECT 'log:model-' || (conv_id % 3) AS reference, count(*) AS cases, count(*) FILTER (turn % 2 <> 0) AS unredacted FROM pairs GROUP BY 1",
     "tag_counts": f"{_T} SELECT tag, count(*) AS cases FROM (SELECT unnest(tags) AS tag FROM pairs) GROUP BY tag",
     "redact_email": f"""WITH d AS (SELECT doc_id, regexp_split_to_array(text, '{_EMAIL}') AS p, regexp_extract_all(text, '{_EMAIL}') AS m FROM documents)

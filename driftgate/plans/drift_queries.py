@@ -142,7 +142,7 @@ _TALLY = "count(*) AS total, " + ", ".join(f"count(*) FILTER (verdict = '{v}') A
 _CHANGES = """changes AS (
   SELECT coalesce(b.case_id, c.case_id) AS case_id, coalesce(b.path, c.path) AS path,
          CASE WHEN c.path IS NULL THEN 'removed' WHEN b.path IS NULL THEN 'added' ELSE 'changed' END AS kind, b.atom AS before, c.atom AS after
-  FROM (SELECT * FROM leaves WHERE side = 'base' AND case_id IN (SELECT case_id FROM sides WHERE side = 'cand' AND doc IS NOT NULL)) b
+  FROM (SELECT l.* FROM leaves l JOIN bodies p ON l.case_id = p.case_id AND l.side = 'base' AND json_valid(p.cand_body)) b
   FULL JOIN (SELECT * FROM leaves WHERE side = 'cand') c ON b.case_id = c.case_id AND b.path = c.path
   WHERE b.path IS NULL OR c.path IS NULL OR b.atom <> c.atom)"""
 _TOOLS = """l AS (SELECT l_orderkey, 'ship_' || lower(l_linestatus) || lower(l_returnflag) AS name, l_partkey, l_linenumber,

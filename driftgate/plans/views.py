@@ -119,8 +119,8 @@ pairs AS (SELECT event_id, case_id, event_id AS position,
     WHEN 5 THEN '```json' || chr(10) || '{"user": ' || u || ', "type": "' || event_type || '", "cents": ' || cents || ', "props": ' || props || ', "marks": [{"n": 1}, {"n": 2}]}' || chr(10) || '```'
     ELSE '{"user": ' || u || ', "type": "' || event_type || '", "cents": ' || cents || ', "props": ' || props || ', "marks": [{"n": 1}, {"n": 2}]}' END AS cand_text
   FROM j0),
-bodies AS (SELECT *, regexp_replace(regexp_replace(cand_text, '^```json\\n', ''), '\\n```$', '') AS cand_body FROM pairs),
+bodies AS MATERIALIZED (SELECT *, regexp_replace(regexp_replace(cand_text, '^```json\\n', ''), '\\n```$', '') AS cand_body FROM pairs),
 sides AS (SELECT case_id, 'base' AS side, base_text AS doc FROM bodies UNION ALL SELECT case_id, 'cand', CASE WHEN json_valid(cand_body) THEN cand_body END FROM bodies),
-nodes AS (SELECT case_id, side, t.fullkey AS fullkey, t.type AS kind, coalesce(t.atom::VARCHAR, 'null') AS atom FROM sides, json_tree(doc) t WHERE doc IS NOT NULL),
+nodes AS MATERIALIZED (SELECT case_id, side, t.fullkey AS fullkey, t.type AS kind, coalesce(t.atom::VARCHAR, 'null') AS atom FROM sides, json_tree(doc) t WHERE doc IS NOT NULL),
 fields AS (SELECT DISTINCT case_id, side, regexp_replace(substr(fullkey, 3), '\\[[0-9]+\\]', '[]', 'g') AS path FROM nodes WHERE fullkey <> '$' AND fullkey NOT LIKE '%]'),
-leaves AS (SELECT case_id, side, substr(fullkey, 3) AS path, atom FROM nodes WHERE kind NOT IN ('OBJECT', 'ARRAY'))"""
+leaves AS MATERIALIZED (SELECT case_id, side, substr(fullkey, 3) AS path, atom FROM nodes WHERE kind NOT IN ('OBJECT', 'ARRAY'))"""

@@ -6,31 +6,72 @@ reason, so a strict and a lenient import are the same plan with another ending.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftgate.functions import jsonfacts
 from driftgate.operators import baseline
 
 ROLES = ("system", "user", "assistant", "tool")
-#: The most records of a source, and characters of a payload.
-MOST_RECORDS, MOST_CHARS = 1_000_000, 4 * 1024 * 1024
+#: Characters of a payload and bytes of a file that is one JSON array, at most.
+MOST_CHARS, MOST_ARRAY_BYTES = 4 * 1024 * 1024, 512 * 1024 * 1024
 NATIVE = ("case_id", "input", "output", "reference")
+#: Keys that a dumped case may have.
+NATIVE_KEYS = (*NATIVE, "captured_at", "tags", "expectations", "redacted", "revision", "accepted_at", "previous_reference")
+#: Where a line stands: file, first byte of its block, place in the block; ordered like the lines.
+POSITION = "struct<file:string,block:bigint,row:bigint>"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """position and value of each line that isn't blank; the position keeps file and line order.
+def _text(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(at.alias("position"), "value")
 
-    A file whose first line begins an array is one JSON array: its elements are the records.
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """position and value of each line that isn't blank; positions keep file and line order."""
+    return _text(spark, path).where(F.trim("value") != "")
+
+
+def read_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """position and value of the elements of files that are one JSON array each.
+
+    A file is one row until it is taken apart, so it is refused beyond MOST_ARRAY_BYTES; what isn't
+    an array of JSON stays one row, which the parser rejects.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
+    items = F.transform(F.try_variant_get(F.try_parse_json("value"), F.lit("$"), "array<variant>"), lambda x: F.to_json(x))
+    some = F.when(F.col("size") <= MOST_ARRAY_BYTES, F.coalesce(items, F.array("value"))).otherwise(F.array(F.lit(f"array of more than {MOST_ARRAY_BYTES} bytes")))
+    rows = whole.select("file", F.posexplode(some).alias("nth", "value"))
+    return rows.select(F.struct("file", F.lit(0).cast("long").alias("block"), F.col("nth").cast("long").alias("row")).alias("position"), "value")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON lines and of JSON arrays; a file whose first line begins with a bracket is an array.
+
+    Looking at the first lines is a scan of its own; where all files are of one kind,
+    ``read_lines`` or ``read_array`` does without.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"), "value")
-    return raw.where(F.trim("value") != "").select("position", "value")
+    lines = _text(spark, path)
+    first = lines.groupBy("position.file").agg(F.min_by("value", F.struct("position.block", "position.row")).alias("first"))
+    kinds = first.select("file", F.ltrim("first").startswith("[").alias("is_array")).collect()  # one short row a file
+    arrays = [r.file for r in kinds if r.is_array]
+    if not arrays:
+        return read_lines(spark, path)
+    others = [r.file for r in kinds if not r.is_array]
+    found = read_array(spark, arrays)
+    return found.unionByName(read_lines(spark, others)) if others else found
 
 
-def read_array(spark: SparkSession, path: str) -> DataFrame:
-    """position and value of the elements of one JSON array a file."""
-    whole = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("at"), F.from_json("value", "array<string>").alias("items"))
-    return whole.select("at", F.posexplode("items").alias("nth", "value")).select((F.col("at") * (2**24) + F.col("nth")).alias("position"), "value")
+def line_numbers(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """``rows`` (few, with the ``position`` of ``read_lines``) with ``line``, counted from one in the file.
+
+    Blank lines count. Blocks are counted in one scan; their sums over a file give each block's first line.
+    """
+    blocks = _text(spark, path).groupBy("position.file", "position.block").agg(F.count(F.lit(1)).alias("n"), F.min("position.row").alias("least"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    numbered = blocks.select("file", "block", "least", before.alias("before"))
+    keyed = rows.withColumns({"file": F.col("position.file"), "block": F.col("position.block")})
+    return keyed.join(numbered, ["file", "block"]).withColumn("line", F.col("before") + F.col("position.row") - F.col("least") + 1).drop("file", "block", "least", "before")
 
 
 def _get(path: str, kind: str = "string", of: str = "v") -> Column:
@@ -76,56 +117,132 @@ def _messages(raw: Column) -> Column:
     return F.transform(raw, lambda m: F.struct(F.try_variant_get(m, F.lit("$.role"), "string").alias("role"), _content(m).alias("content"), tool_calls(F.try_variant_get(m, F.lit("$.tool_calls"), "array<variant>")).alias("tool_calls")))
 
 
-def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Every line with its shape, the case's columns, and a reason where it can't be one."""
-    rows = lines.withColumn("v", F.when(jsonfacts.is_json(F.col(value)), F.try_parse_json(value)))
+def _shape() -> Column:
     native = F.lit(True)
     for k in NATIVE:
         native = native & _get(f"$.{k}", "variant").isNotNull()
     proxy = _is("$.request", "OBJECT") & _is("$.response", "OBJECT")
     explicit = _is("$.input", "OBJECT") & _get("$.output", "variant").isNotNull()
-    shape = F.when(F.col("v").isNull(), "not JSON").when(native, "native").when(proxy, "proxy").when(explicit, "explicit").when(_is("$.messages", "ARRAY"), "flat").otherwise("unknown")
-    rows = rows.withColumn("shape", shape)
-    pick = lambda **by: F.coalesce(*(F.when(F.col("shape") == s, c) for s, c in by.items()))
-    listed = pick(native=_get("$.input.messages", "array<variant>"), proxy=_get("$.request.messages", "array<variant>"), explicit=_get("$.input.messages", "array<variant>"), flat=_get("$.messages", "array<variant>"))
+    return (
+        F.when(F.col("v").isNull(), "not JSON")
+        .when(native, "native")
+        .when(proxy, "proxy")
+        .when(explicit, "explicit")
+        .when(_is("$.messages", "ARRAY"), "flat")
+        .otherwise("unknown")
+    )
+
+
+def _by_shape(**by: Column) -> Column:
+    return F.coalesce(*(F.when(F.col("shape") == s, c) for s, c in by.items()))
+
+
+def _response(at: str) -> dict[str, Column]:
+    """Text, finish reason, calls and model of a response body: chat choices, content blocks or plain text."""
+    blocks = F.filter(_get(f"{at}.content", "array<variant>"), lambda b: F.try_variant_get(b, F.lit("$.type"), "string") == "text")
+    joined = F.array_join(F.transform(blocks, lambda b: F.try_variant_get(b, F.lit("$.text"), "string")), "")
+    said = F.when(_is(f"{at}.choices[0].message.content", "STRING"), _get(f"{at}.choices[0].message.content"))
+    text = (
+        F.when(_is(at, "STRING"), _get(at))
+        .when(_get(f"{at}.text", "variant").isNotNull(), _get(f"{at}.text"))
+        .when(_is(f"{at}.choices", "ARRAY"), F.coalesce(said, F.lit("")))
+        .when(_is(f"{at}.content", "ARRAY"), joined)
+    )
+    return {
+        "text": text,
+        "finish": F.coalesce(_get(f"{at}.choices[0].finish_reason"), _get(f"{at}.stop_reason"), _get(f"{at}.finish_reason")),
+        "calls": F.coalesce(_get(f"{at}.choices[0].message.tool_calls", "array<variant>"), _get(f"{at}.tool_calls", "array<variant>")),
+        "model": _get(f"{at}.model"),
+    }
+
+
+#: Where each shape keeps its sampling parameters; an explicit input has them inside or beside ``params``.
+_PARAMS = {"proxy": ("$.request",), "explicit": ("$.input.params", "$.input"), "flat": ("$",), "native": ("$.input.params",)}
+_REQUEST = {"proxy": "$.request", "explicit": "$.input", "flat": "$", "native": "$.input"}
+#: Columns of a case's input besides its messages, in the order of the fingerprint.
+INPUT = ("temperature", "top_p", "max_tokens", "seed", "stop", "tools", "response_format")
+
+
+def _number(name: str, kind: str) -> Column:
+    """A number where the shape keeps it; booleans and strings aren't numbers."""
+    ok = lambda at: ~_is(f"{at}.{name}", "BOOLEAN") & ~_is(f"{at}.{name}", "STRING")
+    return F.coalesce(*(F.when((F.col("shape") == s) & ok(at), _get(f"{at}.{name}", kind)) for s, places in _PARAMS.items() for at in places))
+
+
+def _stop() -> Column:
+    """Stop sequences as a list; one string is a list of one."""
+    here = lambda s, at: F.when((F.col("shape") == s) & _is(f"{at}.stop", "ARRAY"), _get(f"{at}.stop", "array<string>")).when((F.col("shape") == s) & _is(f"{at}.stop", "STRING"), F.array(_get(f"{at}.stop")))
+    return F.coalesce(*(here(s, at) for s, places in _PARAMS.items() for at in places), F.array().cast("array<string>"))
+
+
+def _inputs() -> dict[str, Column]:
+    part = lambda name, kind: F.coalesce(*(F.when((F.col("shape") == s) & _is(f"{at}.{name}", kind), F.to_json(_get(f"{at}.{name}", "variant"))) for s, at in _REQUEST.items()))
+    return {
+        "temperature": _number("temperature", "double"),
+        "top_p": _number("top_p", "double"),
+        "max_tokens": F.coalesce(_number("max_tokens", "bigint"), _number("max_completion_tokens", "bigint")),
+        "seed": _number("seed", "bigint"),
+        "stop": _stop(),
+        "tools": part("tools", "ARRAY"),
+        "response_format": part("response_format", "OBJECT"),
+    }
+
+
+def _reason() -> Column:
+    bad_role = F.exists("messages", lambda m: ~F.coalesce(m["role"].isin(*ROLES), F.lit(False)))
+    longest = F.greatest(F.length(F.coalesce("base_text", F.lit(""))), F.array_max(F.transform("messages", lambda m: F.length(m["content"]))))
+    strange = F.size(F.array_except(F.json_object_keys("value"), F.array(*(F.lit(k) for k in NATIVE_KEYS)))) > 0
+    typed = _is("$.case_id", "STRING") & _is("$.input", "OBJECT") & _is("$.output", "OBJECT") & F.col("named").isNotNull()
+    return (
+        F.when(F.col("shape") == "not JSON", "not JSON")
+        .when(F.col("shape") == "unknown", "unrecognised shape")
+        .when((F.col("shape") == "native") & (~typed | strange), "native case is invalid")
+        .when(F.col("messages").isNull(), "messages must be a list")
+        .when(F.size("messages") == 0, "no messages")
+        .when(bad_role, "unsupported role")
+        .when(F.col("base_text").isNull(), "no output text")
+        .when((F.col("shape") != "native") & (longest > MOST_CHARS), "payload too large")
+    )
+
+
+def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Every line with its shape, the case's columns, and a reason where it can't be one."""
+    rows = lines.withColumnRenamed(value, "value").withColumn("v", F.when(jsonfacts.is_json(F.col("value")), F.try_parse_json("value")))
+    rows = rows.withColumn("shape", _shape())
+    listed = _by_shape(**{s: _get(f"{at}.messages", "array<variant>") for s, at in _REQUEST.items()})
     rows = rows.withColumn("messages", _messages(listed))
-    # the response body of the proxy and explicit shapes: chat choices or content blocks
-    body = {"proxy": "$.response", "explicit": "$.output", "native": "$.output"}
-    text, finish, calls, model = [], [], [], []
-    for s, at in body.items():
-        here = F.col("shape") == s
-        blocks = F.filter(_get(f"{at}.content", "array<variant>"), lambda b: F.try_variant_get(b, F.lit("$.type"), "string") == "text")
-        joined = F.array_join(F.transform(blocks, lambda b: F.try_variant_get(b, F.lit("$.text"), "string")), "")
-        chat = _is(f"{at}.choices", "ARRAY")
-        own = F.when(_is(at, "STRING"), _get(at)).when(_get(f"{at}.text", "variant").isNotNull(), _get(f"{at}.text")).when(chat, F.coalesce(F.when(_is(f"{at}.choices[0].message.content", "STRING"), _get(f"{at}.choices[0].message.content")), F.lit(""))).when(_is(f"{at}.content", "ARRAY"), joined)
-        text.append(F.when(here, own))
-        finish.append(F.when(here, F.coalesce(_get(f"{at}.choices[0].finish_reason"), _get(f"{at}.stop_reason"), _get(f"{at}.finish_reason"))))
-        calls.append(F.when(here, F.coalesce(_get(f"{at}.choices[0].message.tool_calls", "array<variant>"), _get(f"{at}.tool_calls", "array<variant>"))))
-        model.append(F.when(here, _get(f"{at}.model")))
+    bodies = {"proxy": _response("$.response"), "explicit": _response("$.output"), "native": _response("$.output")}
+    body = lambda name: [F.when(F.col("shape") == s, b[name]) for s, b in bodies.items()]
     flat = F.col("shape") == "flat"
-    text.append(F.when(flat, F.coalesce(F.when(_is("$.completion", "STRING"), _get("$.completion")), F.when(_is("$.response_text", "STRING"), _get("$.response_text")), F.when(_get("$.completion", "variant").isNull(), F.lit("")))))
-    finish.append(F.when(flat, "stop"))
-    named = F.when(_is("$.reference", "STRING"), _get("$.reference")).when(_is("$.reference", "OBJECT"), F.concat_ws(":", _get("$.reference.provider"), _get("$.reference.model")))
-    made = F.concat_ws(":", F.coalesce(_get("$.provider"), F.lit("unknown")), F.coalesce(_get("$.model"), F.when(F.col("shape") == "proxy", _get("$.request.model")), *model, F.lit("unknown")))
-    tags = F.when(_is("$.tags", "ARRAY"), _get("$.tags", "array<string>")).when(_is("$.tags", "STRING"), F.array(_get("$.tags"))).otherwise(F.array().cast("array<string>"))
-    params = {"proxy": "$.request", "explicit": "$.input", "flat": "$", "native": "$.input.params"}
-    number = lambda n, kind: F.coalesce(*(F.when((F.col("shape") == s) & ~_is(f"{at}.{n}", "BOOLEAN") & ~_is(f"{at}.{n}", "STRING"), _get(f"{at}.{n}", kind)) for s, at in params.items()))
+    string = lambda at: F.when(_is(at, "STRING"), _get(at))
+    completion = F.coalesce(string("$.completion"), F.when(_get("$.completion", "variant").isNull(), string("$.response_text")), F.when(_get("$.completion", "variant").isNull() & _get("$.response_text", "variant").isNull(), F.lit("")))
+    both = _get("$.reference.provider").isNotNull() & _get("$.reference.model").isNotNull()
+    named = F.when(_is("$.reference", "STRING"), _get("$.reference")).when(_is("$.reference", "OBJECT") & both, F.concat_ws(":", _get("$.reference.provider"), _get("$.reference.model")))
+    model = F.coalesce(_get("$.model"), F.when(F.col("shape") == "proxy", _get("$.request.model")), *body("model"), F.lit("unknown"))
+    made = F.concat_ws(":", F.coalesce(_get("$.provider"), F.lit("unknown")), model)
+    tags = F.when(_is("$.tags", "ARRAY"), _get("$.tags", "array<string>")).when(_is("$.tags", "STRING"), F.array(_get("$.tags")))
     rows = rows.withColumns({
-        "base_text": F.coalesce(*text), "base_finish": F.coalesce(*finish), "base_tools": tool_calls(F.coalesce(*calls)), "reference": F.coalesce(named, made), "tags": tags,
-        "temperature": number("temperature", "double"), "max_tokens": F.coalesce(number("max_tokens", "bigint"), number("max_completion_tokens", "bigint")), "seed": number("seed", "bigint"), "given_id": F.when(_is("$.case_id", "STRING"), _get("$.case_id")),
+        "base_text": F.coalesce(*body("text"), F.when(flat, completion)),
+        "base_finish": F.coalesce(*body("finish"), F.when(flat, "stop")),
+        "base_tools": tool_calls(F.coalesce(*body("calls"))),
+        "named": named, "reference": F.coalesce(named, made),
+        "tags": F.coalesce(tags, F.array().cast("array<string>")),
+        "given_id": string("$.case_id"),
+        **_inputs(),
     })
-    bad_role = F.exists("messages", lambda m: ~F.coalesce(m["role"].isin(*ROLES), F.lit(False)))
-    chars = F.length(F.coalesce("base_text", F.lit(""))) + F.coalesce(F.aggregate("messages", F.lit(0), lambda n, m: n + F.length(m["content"])), F.lit(0))
-    reason = F.when(F.col("shape") == "not JSON", "not JSON").when(F.col("shape") == "unknown", "unrecognised shape").when(F.col("messages").isNull(), "messages must be a list").when(F.size("messages") == 0, "no messages").when(bad_role, "unsupported role").when(F.col("base_text").isNull(), "no output text").when((F.col("shape") != "native") & (chars > MOST_CHARS), "payload too large")
     # a filter on the reason must not be pushed below, where it would parse every line once more for
     # each mention of a field; a generator of one row stops it
-    return rows.withColumn("reason", F.explode(F.array(reason))).drop("v")
+    return rows.withColumn("reason", F.explode(F.array(_reason()))).drop("v", "named")
+
+
+def fingerprint() -> Column:
+    """Identity of a case's input: messages and everything that was asked for with them."""
+    return baseline.fingerprint(F.col("messages"), *(F.col(c) for c in INPUT))
 
 
 def accepted(rows: DataFrame, tags: tuple[str, ...] = (), reference: str | None = None) -> DataFrame:
     """Good lines as cases; an id that isn't given is the fingerprint of the input."""
-    own = baseline.fingerprint(F.col("messages"), F.col("temperature"), F.col("max_tokens"), F.col("seed"))
-    good = rows.where("reason is null").withColumns({"case_id": F.coalesce("given_id", own), "tags": baseline.merged_tags(F.col("tags"), tags), "id_is_derived": F.col("given_id").isNull()})
+    good = rows.where("reason is null").withColumns({"case_id": F.coalesce("given_id", fingerprint()), "tags": baseline.merged_tags(F.col("tags"), tags), "id_is_derived": F.col("given_id").isNull()})
     return good.withColumn("reference", F.lit(reference)) if reference else good
 
 

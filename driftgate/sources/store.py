@@ -62,6 +62,14 @@ def save_run(outcomes: DataFrame, path: str, name: str, created_at: Column) -> N
     outcomes.drop("run_id", "created_at").select("*", F.lit(name).alias("run_id"), created_at.alias("created_at")).write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def load_run(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """Outcomes of a run, or of the newest; no rows where there is none of that name."""
+    if name is None:
+        newest = runs(spark, path).first()
+        name = newest.run_id if newest else ""
+    return spark.read.parquet(path).where(F.col("run_id") == name)
+
+
 def runs(spark: SparkSession, path: str) -> DataFrame:
     """Runs, the newest first."""
     return spark.read.parquet(path).groupBy("run_id").agg(F.max("created_at").alias("created_at"), F.count(F.lit(1)).alias("cases")).orderBy(F.desc("created_at"), F.desc("run_id"))

@@ -14,24 +14,32 @@ from driftgate.functions import redaction
 from driftgate.sources import logs, store
 
 
-def prepared(lines: DataFrame) -> DataFrame:
-    """Lines to redacted cases; ids that were derived follow the redacted input."""
-    good = redaction.redact(logs.parsed(lines).where("reason is null"), "base_text")
-    rows = good.select("position", F.posexplode("messages").alias("nth", "m")).select("position", "nth", F.col("m.role").alias("role"), F.col("m.content").alias("content"), F.col("m.tool_calls").alias("tool_calls"))
-    clean = redaction.redact(rows, "content").groupBy("position").agg(F.array_sort(F.collect_list(F.struct("nth", "role", "content", "tool_calls"))).alias("ms"))
-    clean = clean.select("position", F.transform("ms", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["tool_calls"].alias("tool_calls"))).alias("messages"))
-    return logs.accepted(good.drop("messages").join(clean, "position")).withColumn("redacted", F.lit(True))
+#: What a stored case keeps of a log line.
+KEPT = ("case_id", "position", "messages", "base_text", "base_tools", "base_finish", "reference", "tags", *logs.INPUT, "redacted")
 
 
-def capture(spark: SparkSession, source: str, baseline_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Start the capture of a folder of JSON lines; ``once`` takes what is there and ends."""
-    lines = spark.readStream.text(source).where(F.trim("value") != "")
+def prepared(rows: DataFrame) -> DataFrame:
+    """Parsed lines to redacted cases; ids that were derived follow the redacted input."""
+    return logs.accepted(redaction.redact_case(rows.where("reason is null")))
+
+
+def capture(spark: SparkSession, source: str, baseline_path: str, checkpoint: str, once: bool = True, rejects: str | None = None) -> StreamingQuery:
+    """Start the capture of a folder of JSON lines; ``once`` takes what is there and ends.
+
+    Lines that can't be cases are appended to ``rejects``, a Parquet table of number (of the batch),
+    position and reason; a batch that runs again replaces its own.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.readStream.text(source).select("value", "_metadata").where(F.trim("value") != "")
 
     def add(batch: DataFrame, number: int) -> None:
-        placed = batch.withColumn("position", F.monotonically_increasing_id() + F.lit(number) * F.lit(2**40))
-        kept = placed.persist()
+        # parsed once, then read for the texts to redact, for the cases and for the rejects
+        kept = logs.parsed(batch.select(place.alias("position"), "value")).persist()
         try:
-            store.extend(spark, prepared(kept).select("case_id", "position", "messages", "base_text", "base_finish", "reference", "tags", "redacted"), baseline_path)
+            store.extend(spark, prepared(kept).select(*KEPT), baseline_path)
+            if rejects:
+                bad = logs.rejected(kept).withColumn("number", F.lit(number).cast("long"))
+                bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("number").parquet(rejects)
         finally:
             kept.unpersist()
 

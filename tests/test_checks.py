@@ -1,5 +1,6 @@
 import pytest
 
+from driftgate.functions import jsonfacts
 from driftgate.operators import checks, verdict
 
 STRUCT = "case_id string, base_text string, base_tools array<struct<name:string,arguments:string>>, base_finish string, cand_text string, cand_tools array<struct<name:string,arguments:string>>, cand_finish string, expect_fields array<string>, expect_regex string, expect_schema string, expect_numbers double, expect_length double, forbid_refusal boolean, exact boolean, skip_checks array<string>"
@@ -11,6 +12,37 @@ def run(spark, base="hello", cand="hello", settings=None, **more):
     return {c.check: (c.status, c.severity) for c in found.checks}, found.verdict, found.reason
 
 
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        ({"oneOf": [{"type": "integer"}, {"minimum": 2}]}, [1, 2.5], [3, 1.5]),
+        ({"anyOf": [{"type": "string"}, {"type": "null"}]}, ["x", None], [1]),
+        ({"allOf": [{"minimum": 1}, {"maximum": 3}]}, [2, "x"], [0, 4]),
+        ({"not": {"type": "string"}}, [1], ["x"]),
+        ({"$ref": "#/$defs/n", "$defs": {"n": {"type": "object", "properties": {"next": {"$ref": "#/$defs/n"}}, "additionalProperties": False}}}, [{"next": {"next": {}}}], [{"next": {"next": 1}}, {"x": 1}]),
+        ({"exclusiveMinimum": 1, "exclusiveMaximum": 3}, [2], [1, 3]),
+        ({"multipleOf": 0.1}, [0.5], [0.55]),
+        ({"multipleOf": 3}, [9, "x"], [10]),
+        ({"uniqueItems": True}, [[1, True, "1"]], [[1, 1.0], [{"a": 1}, {"a": 1}]]),
+        ({"patternProperties": {"^n_": {"type": "number"}}, "additionalProperties": {"type": "string"}}, [{"n_a": 1, "b": "x"}], [{"n_a": "x"}, {"b": 1}]),
+        ({"propertyNames": {"pattern": "^[a-z]+$"}, "minProperties": 1, "maxProperties": 2}, [{"a": 1}], [{}, {"A": 1}, {"a": 1, "b": 1, "c": 1}]),
+        ({"prefixItems": [{"type": "integer"}], "items": {"type": "string"}}, [[1, "a"]], [["a"], [1, 2]]),
+        ({"contains": {"const": 1}, "maxContains": 1}, [[0, 1]], [[0], [1, 1]]),
+        ({"if": {"type": "string"}, "then": {"minLength": 2}, "else": {"minimum": 5}}, ["ab", 5], ["a", 4]),
+        ({"dependentRequired": {"a": ["b"]}}, [{"a": 1, "b": 1}, {}], [{"a": 1}]),
+        ({"enum": [1, "a"], "title": "noted"}, [1.0, "a"], [True, "b"]),
+    ],
+)
+def test_schema_keywords(schema, good, bad):
+    assert [jsonfacts._problem(v, schema) for v in good] == [None] * len(good)
+    assert all((p := jsonfacts._problem(v, schema)) and not p.startswith("!") for v in bad)
+
+
+@pytest.mark.parametrize("schema", [{"unheardOf": 1}, {"properties": {"a": {"typ": "string"}}}, {"type": "text"}, {"$ref": "http://x"}, {"$ref": "#/no"}, {"$ref": "#"}, {"pattern": "("}, {"minimum": "x"}, 5])
+def test_schemas_that_are_wrong_or_say_what_is_unknown(schema):
+    assert any((jsonfacts._problem(v, schema) or "").startswith("!") for v in ({"a": 1}, "a", 1))
+
+
 @pytest.mark.parametrize(
     ("check", "base", "cand", "more", "status", "severity"),
     [
