@@ -40,7 +40,7 @@ LINE = 0.7
 LEAST_STEPS, EPOCHS, BATCH, RATE = 500, (3, 20), 32, 0.003
 COMMON = 1500
 #: Bounds of what a scorer keeps: words, rows of its table (a row is 384 bytes), and words of a text at a time.
-KEPT_WORDS, KEPT_ROWS, PIECE = 50_000, 2**16, 8_000
+KEPT_WORDS, KEPT_ROWS, PIECE = 120_000, 2**17, 8_000
 LEAST_TEXTS, LEAST_Z = 3, 1.2
 #: A language whose rows no cut separates this well takes the threshold of all languages.
 LEAST_F1 = 0.6
