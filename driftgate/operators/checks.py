@@ -107,19 +107,29 @@ def results(s: Settings) -> dict[str, Check]:
     base, cand = F.col("base_facts"), F.col("cand_facts")
     out: dict[str, Check] = {}
     out["empty_output"] = Check(_status((_empty("base"), "skip"), (_empty("cand"), "fail")), message="nothing came back where there was content before")
-    out["truncation"] = Check(_status((~text.was_cut_off(F.col("cand_finish")), "pass"), (text.was_cut_off(F.col("base_finish")), "skip"), otherwise="fail"), message="the output was cut off", evidence=F.col("cand_finish"))
+    cut = _status((~text.was_cut_off(F.col("cand_finish")), "pass"), (text.was_cut_off(F.col("base_finish")), "skip"), otherwise="fail")
+    out["truncation"] = Check(cut, message="the output was cut off", evidence=F.col("cand_finish"))
     phrase = F.col("cand_refusal")
-    out["refusal"] = Check(_status((F.col("forbid_refusal") == False, "skip"), (phrase.isNull(), "pass"), (F.col("base_refusal").isNotNull(), "skip"), otherwise="fail"), message="the candidate declines the task", evidence=phrase)  # noqa: E712
+    refused = _status((F.col("forbid_refusal") == False, "skip"), (phrase.isNull(), "pass"), (F.col("base_refusal").isNotNull(), "skip"), otherwise="fail")  # noqa: E712
+    out["refusal"] = Check(refused, message="the candidate declines the task", evidence=phrase)
     out["json_parse"] = Check(_status((~base["is_json"], "skip"), (~cand["is_json"], "fail")), message="the baseline is JSON, the candidate is not", evidence=F.substring(c, 1, 160))
     schema = F.coalesce("expect_schema", F.get_json_object("response_format", "$.json_schema.schema"))
     problem = F.col("schema_problem")
-    out["json_schema"] = Check(_status((schema.isNull(), "skip"), (~cand["is_json"], "fail"), (problem.isNotNull(), "fail")), severity=F.when(cand["is_json"] & problem.startswith("!"), "warning").otherwise("blocking"), message=F.when(~cand["is_json"], "the candidate is not JSON, so the schema can't hold").otherwise(F.concat(F.lit("schema: "), problem)))
+    out["json_schema"] = Check(
+        _status((schema.isNull(), "skip"), (~cand["is_json"], "fail"), (problem.isNotNull(), "fail")),
+        severity=F.when(cand["is_json"] & problem.startswith("!"), "warning").otherwise("blocking"),
+        message=F.when(~cand["is_json"], "the candidate is not JSON, so the schema can't hold").otherwise(F.concat(F.lit("schema: "), problem)),
+    )
     declared = F.col("expect_fields").isNotNull()
     expected = F.coalesce(F.array_distinct("expect_fields"), base["fields"])
     missing, added = F.array_sort(F.array_except(expected, cand["fields"])), F.array_sort(F.array_except(cand["fields"], expected))
-    out["required_fields"] = Check(_status((~declared & (F.lit(not s.infer_fields) | ~base["is_json"]), "skip"), (F.size(expected) == 0, "skip"), (~cand["is_json"] | (F.size(missing) > 0) | (F.size(added) > 0), "fail")),
+    unasked = ~declared & (F.lit(not s.infer_fields) | ~base["is_json"])
+    other = ~cand["is_json"] | (F.size(missing) > 0) | (F.size(added) > 0)
+    some = lambda label, names: F.concat(F.lit(label), F.array_join(F.slice(names, 1, 10), ", "))
+    out["required_fields"] = Check(
+        _status((unasked, "skip"), (F.size(expected) == 0, "skip"), (other, "fail")),
         severity=F.when(cand["is_json"] & (F.size(missing) == 0), "warning").otherwise("blocking"),
-        message=F.when(~cand["is_json"], "the candidate is not JSON, so no field can be there").when(F.size(missing) > 0, F.concat(F.lit("fields gone: "), F.array_join(F.slice(missing, 1, 10), ", "))).otherwise(F.concat(F.lit("fields that are new: "), F.array_join(F.slice(added, 1, 10), ", "))),
+        message=F.when(~cand["is_json"], "the candidate is not JSON, so no field can be there").when(F.size(missing) > 0, some("fields gone: ", missing)).otherwise(some("fields that are new: ", added)),
         evidence=F.to_json(F.struct(missing.alias("missing"), added.alias("added"))),
     )
     wanted = F.coalesce(F.col("expect_tools"), _tool_names("base") if s.infer_tools else F.array().cast("array<string>"))
@@ -132,11 +142,21 @@ def results(s: Settings) -> dict[str, Check]:
     )
     out["exact_match"] = Check(_status((~F.coalesce("exact", F.lit(False)), "skip"), (F.col("base_norm") != F.col("cand_norm"), "fail")), message="the text must not change")
     hit = F.col("pattern_result")
-    out["format_regex"] = Check(_status((F.col("expect_regex").isNull(), "skip"), (hit != "hit", "fail")), severity=F.when(hit == "invalid", "warning").otherwise("blocking"), message=F.when(hit == "invalid", "check failed: the pattern is invalid").otherwise("the text lacks the format"), evidence=F.col("expect_regex"))
+    out["format_regex"] = Check(
+        _status((F.col("expect_regex").isNull(), "skip"), (hit != "hit", "fail")),
+        severity=F.when(hit == "invalid", "warning").otherwise("blocking"),
+        message=F.when(hit == "invalid", "check failed: the pattern is invalid").otherwise("the text lacks the format"),
+        evidence=F.col("expect_regex"),
+    )
     tolerance = F.coalesce("expect_numbers", F.lit(s.numeric_tolerance).cast("double"))
     shared = F.filter(F.map_entries(base["numbers"]), lambda x: F.map_contains_key(cand["numbers"], x["key"]))
     moved = F.filter(shared, lambda x: ~text.within(x["value"], cand["numbers"][x["key"]], tolerance))
-    out["numeric_tolerance"] = Check(_status((tolerance.isNull() | (tolerance < 0) | ~base["is_json"] | ~cand["is_json"] | (F.size(base["numbers"]) == 0), "skip"), (F.size(moved) > 0, "fail")), message="numbers moved beyond the tolerance", evidence=F.array_join(F.slice(F.transform(moved, lambda x: x["key"]), 1, 8), ", "))
+    numberless = tolerance.isNull() | (tolerance < 0) | ~base["is_json"] | ~cand["is_json"] | (F.size(base["numbers"]) == 0)
+    out["numeric_tolerance"] = Check(
+        _status((numberless, "skip"), (F.size(moved) > 0, "fail")),
+        message="numbers moved beyond the tolerance",
+        evidence=F.array_join(F.slice(F.transform(moved, lambda x: x["key"]), 1, 8), ", "),
+    )
     limit = F.coalesce("expect_length", F.lit(s.length_ratio))
     before = F.length("base_trim")
     change = F.when(before > 0, F.abs(F.length("cand_trim") - before) / before)
@@ -149,12 +169,16 @@ def with_facts(pairs: DataFrame, settings: Settings, json: bool = True) -> DataF
     pairs = completed(pairs)
     trim = {f"{x}_trim": text.stripped(F.coalesce(F.col(f"{x}_text"), F.lit(""))) for x in ("base", "cand")}
     pairs = pairs.withColumns(trim)
-    pairs = pairs.withColumns({f"{x}_norm": text.normalised(F.col(f"{x}_trim"), settings.ignore_whitespace, settings.ignore_case) for x in ("base", "cand")} | {f"{x}_refusal": text.refusal_phrase(F.col(f"{x}_trim"), settings.refusals) for x in ("base", "cand")})
+    norms = {f"{x}_norm": text.normalised(F.col(f"{x}_trim"), settings.ignore_whitespace, settings.ignore_case) for x in ("base", "cand")}
+    pairs = pairs.withColumns(norms | {f"{x}_refusal": text.refusal_phrase(F.col(f"{x}_trim"), settings.refusals) for x in ("base", "cand")})
     if not json:
         none = F.struct(F.lit(False).alias("is_json"), F.array().cast("array<string>").alias("fields"), F.lit(None).cast("map<string,double>").alias("numbers"), F.lit(None).cast("map<string,string>").alias("leaves"))
         return pairs.withColumns({"base_facts": none, "cand_facts": none, "schema_problem": F.lit(None).cast("string"), "pattern_result": F.lit(None).cast("string")})
     schema = F.coalesce("expect_schema", F.get_json_object("response_format", "$.json_schema.schema"))
-    return pairs.withColumns({"base_facts": jsonfacts.facts(F.col("base_text")), "cand_facts": jsonfacts.facts(F.col("cand_text")), "schema_problem": jsonfacts.schema_problem(F.col("cand_text"), schema), "pattern_result": jsonfacts.pattern_result(F.col("cand_text"), F.col("expect_regex"))})
+    return pairs.withColumns({
+        "base_facts": jsonfacts.facts(F.col("base_text")), "cand_facts": jsonfacts.facts(F.col("cand_text")),
+        "schema_problem": jsonfacts.schema_problem(F.col("cand_text"), schema), "pattern_result": jsonfacts.pattern_result(F.col("cand_text"), F.col("expect_regex")),
+    })
 
 
 #: Checks of prose outputs, for which those on JSON, schemas and formats would all be skipped.
