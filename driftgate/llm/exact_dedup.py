@@ -6,8 +6,10 @@ stored key behind it, so a fingerprint hit is verified against the whole digest
 false hit never joins two texts. An insertion that finds no free slot after a bounded number of
 moves doubles the table and refills it from the stored keys. Deletion clears the verified slot.
 
-Only digests are shuffled, never texts. A text that a third of all rows share is first counted by
-(digest, salt), so no task sees more than one row per salt of it.
+What stands for a text's content is its SHA-256, in the filter and where hits are verified.
+``exact_dedup`` shuffles digests only; ``keep_exact`` sends the texts to the rows that stay. A text
+that a third of all rows share is first counted by (digest, salt), so no task sees more than one
+row per salt of it.
 
 Defined results: a null text counts as empty; a null id never wins over another id; among rows
 that repeat both id and text one is kept; an empty table gives no rows; extra columns are ignored.

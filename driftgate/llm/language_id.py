@@ -6,8 +6,8 @@ frequent n-grams; a document's own order is compared with each profile, an n-gra
 lacks costs the profile's length. The least mean distance wins, equal distances go to the first
 language by name. The score is one minus the winner's distance over the largest possible.
 
-Profiles are learned from a bounded sample, ``SAMPLE`` documents of each language in a hash order of
-ids, whose n-grams are counted and summed on the executors. Only ``PROFILE`` n-grams of each
+Profiles are learned from a bounded sample: a hash of the id draws ``SAMPLE`` documents of each
+language, give or take the chance of the draw, whose n-grams are counted and summed on the executors. Only ``PROFILE`` n-grams of each
 language come to the driver.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text when
@@ -105,7 +105,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame) -> Profiles:
-    """Profiles of each language from at most SAMPLE documents of it that aren't held out."""
+    """Profiles of each language from about SAMPLE documents of it that aren't held out."""
     known = docs.where("lang is not null and text is not null").where(~held_out("doc_id"))
     langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.broadcast(langs.select("lang", F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n")).alias("share")))  # a row a language

@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from driftgate.llm import language_id as li
+from driftgate.llm import license_scan as ls
 from driftgate.llm import mixing as mx
 from driftgate.llm import packing as pk
 from driftgate.llm import toxicity as tx
@@ -136,3 +137,33 @@ def test_pipeline_agrees_with_plain_python(spark, corpus):
             ends = np.cumsum([0, *(n for _, n in sorted(parts))])
             assert [s for s, _ in sorted(parts)] == ends[:-1].tolist()
             assert ends[-1] == (sizes[key] if sizes else 2048 if key < max(sequences) else sum(map(len, ids.values())) % 2048 or 2048)
+
+
+def _cosine(weights, window, template):
+    """TF-IDF cosine of two lists of words; words outside the licences weigh as the rarest."""
+    a, b = collections.Counter(window), collections.Counter(template)
+    idf = lambda w: weights.idf.get(w, weights.rare)
+    product = sum(n * b[w] * idf(w) ** 2 for w, n in a.items())
+    return product / np.sqrt(sum((n * idf(w)) ** 2 for w, n in a.items()) * sum((n * idf(w)) ** 2 for w, n in b.items()))
+
+
+def test_licence_windows_agree_with_every_window():
+    """The bound on windows and the words that let a text be passed over lose no notice."""
+    rng = random.Random(8)
+    weights = ls.Weights(1000, {"the": 900, "under": 400, "license": 90, "of": 950, "and": 940})
+    notices = [(name, ls.terms(t)) for name, t in ls.NOTICES]
+    short = [(name, t) for name, t in notices if len(t) <= 20]
+    found = 0
+    for _ in range(14):
+        _, notice = rng.choice(short)
+        kept = [w for w in notice if rng.random() < rng.choice([0.5, 0.8, 1.0])]
+        words = [rng.choice(["the", "of", "lorem", "ipsum", "code", "license", "free", "version"]) for _ in range(rng.randrange(25))]
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = kept
+        best = max((_cosine(weights, words[k : k + n], t) for n in ls.LENGTHS for k in range(len(words)) for _, t in notices), default=0)
+        names = {name for n in ls.LENGTHS for k in range(len(words)) for name, t in notices if _cosine(weights, words[k : k + n], t) > best - 1e-9} if words else set()
+        name, cosine, _, copy = weights.notice(" ".join(words))
+        if not copy:
+            assert (name in names and cosine == pytest.approx(best)) if best >= ls.LEAST else name is None
+            found += name is not None
+    assert found >= 5
