@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from driftgate.llm import exact_dedup, minhash_dedup, mixing, packing, toxicity
 from driftgate.llm.work import stored, table
 
-#: Share of expected tokens by labelled quality that the mix stage aims at.
-QUALITY = {"q0": 0.12, "q1": 0.88}
+#: Share of expected tokens by labelled quality that the mix stage aims at: one token in twenty of low quality, for variety.
+QUALITY = {"q0": 0.05, "q1": 0.95}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact), ("near_dedup", drop_near), ("mix", mix), ("pack", pack)]
 
-#: Classifiers, MinHash and tokenizers aren't expressible in SQL; tests/llm compare each stage with brute force.
+#: Classifiers, MinHash and tokenizers aren't expressible in SQL; tests/llm/test_brute_force.py compares run() with plain Python.
 ORACLE_SQL = None
 
 
