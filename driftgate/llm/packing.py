@@ -35,7 +35,7 @@ END_ID = 1
 #: Characters whose lower case is one character regardless of neighbours and that need no composing.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xffĀ-įĲ-ňŊ-ſ‐-‧‰-⁞€]*")
 #: Pieces whose ids a worker keeps.
-KEPT_PIECES = 150_000
+KEPT_PIECES = 300_000
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on.
 BYTE_SIGNS = {b: chr(0x100 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
@@ -79,7 +79,7 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece; a word with a comma or full stop behind it is put together."""
         if (mark := self.marks.get(piece[-1])) and (word := piece[:-1]).isalpha():
-            return self.word(word) + mark
+            return self.pieces[word] + mark
         return self.word(piece) if piece.isalpha() else self.whole(piece)
 
 
