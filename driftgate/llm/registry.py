@@ -11,11 +11,12 @@ from driftgate.llm import (
     minhash_dedup,
     mixing,
     packing,
+    personal_data,
     secret_scan,
     toxicity,
 )
 
-MODULES = (exact_dedup, mixing, hamming_search, chat_collapse, toxicity, language_id, secret_scan, minhash_dedup, license_scan, packing)
+MODULES = (exact_dedup, mixing, hamming_search, chat_collapse, toxicity, language_id, secret_scan, minhash_dedup, license_scan, packing, personal_data)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in getattr(m, "SQL", {}).items()}
