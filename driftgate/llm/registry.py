@@ -8,6 +8,7 @@ from driftgate.llm import (
     hamming_search,
     language_id,
     license_scan,
+    merkle_manifest,
     minhash_dedup,
     mixing,
     packing,
@@ -16,7 +17,7 @@ from driftgate.llm import (
     toxicity,
 )
 
-MODULES = (exact_dedup, mixing, hamming_search, chat_collapse, toxicity, language_id, secret_scan, minhash_dedup, license_scan, packing, personal_data)
+MODULES = (exact_dedup, mixing, hamming_search, chat_collapse, toxicity, language_id, secret_scan, minhash_dedup, license_scan, packing, personal_data, merkle_manifest)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in getattr(m, "SQL", {}).items()}
