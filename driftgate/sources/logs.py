@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from driftgate.functions import jsonfacts
 from driftgate.operators import baseline
+from driftgate.sources import arrays
 
 ROLES = ("system", "user", "assistant", "tool")
-#: Characters of a payload and bytes of a file that is one JSON array, at most.
-MOST_CHARS, MOST_ARRAY_BYTES = 4 * 1024 * 1024, 512 * 1024 * 1024
+#: Fixed value: characters of a payload, at most.
+MOST_CHARS = 4 * 1024 * 1024
 NATIVE = ("case_id", "input", "output", "reference")
 #: Keys that a dumped case may have.
 NATIVE_KEYS = (*NATIVE, "captured_at", "tags", "expectations", "redacted", "revision", "accepted_at", "previous_reference")
@@ -33,16 +34,8 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """position and value of the elements of files that are one JSON array each.
-
-    A file is one row until it is taken apart, so it is refused beyond MOST_ARRAY_BYTES; what isn't
-    an array of JSON stays one row, which the parser rejects.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
-    items = F.transform(F.try_variant_get(F.try_parse_json("value"), F.lit("$"), "array<variant>"), lambda x: F.to_json(x))
-    some = F.when(F.col("size") <= MOST_ARRAY_BYTES, F.coalesce(items, F.array("value"))).otherwise(F.array(F.lit(f"array of more than {MOST_ARRAY_BYTES} bytes")))
-    rows = whole.select("file", F.posexplode(some).alias("nth", "value"))
-    return rows.select(F.struct("file", F.lit(0).cast("long").alias("block"), F.col("nth").cast("long").alias("row")).alias("position"), "value")
+    """position and value of the elements of files that are one JSON array each, of any size."""
+    return arrays.read(spark, path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
