@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgate.llm import exact_dedup, minhash_dedup, mixing, packing, toxicity
-from driftgate.llm.work import stored, table
+from driftgate.llm.work import scratch, table
 
 #: Share of expected tokens by labelled quality that the mix stage aims at: one token in twenty of low quality, for variety.
 QUALITY = {"q0": 0.05, "q1": 0.95}
@@ -45,8 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every intermediate table lies in the shared folder."""
+    """All stages over documents; tables that a stage needs go with it, its result stays in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as lasting:
+            docs = lasting(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
