@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgate.llm.components import components
-from driftgate.llm.work import Recent, attach, held, stored, table
+from driftgate.llm.work import Recent, attach, fresh, held, stored, table
 
 WORDS = 5
 BANDS, ROWS = 32, 6
@@ -289,9 +289,21 @@ KEEP_PERCENT = 80
 
 
 def keep_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, all columns kept."""
-    dropped = near_duplicates(docs, KEEP_PERCENT).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each near-duplicate group, that of the least id; all columns kept.
+
+    Where an id is null or comes twice, rows are numbered and take part by their numbers, so
+    that no text is taken for another of its id; this writes the table once more. A null id comes after others.
+    """
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if repeated.isEmpty():
+        dropped = near_duplicates(docs, KEEP_PERCENT).where("not kept").select("doc_id")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    number = fresh(docs, "row_number")
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "near-rows")
+    groups = near_duplicates(rows, KEEP_PERCENT, doc_id=number).select(F.col("doc_id").alias(number), F.col("component_id").alias("_component"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", number)).alias("_first")
+    kept = rows.select(number, "doc_id").join(groups, number).groupBy("_component").agg(first).select(F.col("_first")[number].alias(number))
+    return rows.join(kept, number, "left_semi").select(*docs.columns)
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -38,16 +39,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: a lost executor costs a re-read, never a recomputation, and a
     nondeterministic column keeps the value it had when it was written.
     """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return _written(df, "/".join([_own_dir(df.sparkSession), *_SCRATCH, f"{name}-{uuid.uuid4().hex}"]))
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def _written(df: DataFrame, at: str) -> DataFrame:
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def clear(spark: SparkSession) -> None:
+def clear(spark: SparkSession, at: str | None = None) -> None:
     """Delete the tables that this application has written to the shared folder, once no result reads them."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at or _own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Folders inside that of the application, the innermost last, in which tables are stored just now.
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stored inside go when it ends, but for those stored by the function that it gives."""
+    outside = list(_SCRATCH)
+    _SCRATCH.append(f"scratch-{uuid.uuid4().hex}")
+    inside = "/".join([_own_dir(spark), *_SCRATCH])
+    try:
+        yield lambda df, name: _written(df, "/".join([_own_dir(spark), *outside, f"{name}-{uuid.uuid4().hex}"]))
+    finally:
+        _SCRATCH[:] = outside
+        clear(spark, inside)
 
 
 def fresh(df: DataFrame, name: str) -> str:

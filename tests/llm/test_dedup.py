@@ -134,6 +134,26 @@ def test_repeated_ids_with_other_texts(spark):
         assert got == [(1, 1), (3, 3), (3, 3), (4, 3), (5, 3)]
 
 
+def test_stage_keeps_other_texts_of_repeated_ids(spark):
+    x, y = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    stay = lambda rows: sorted(((r.doc_id, r.text) for r in md.keep_near(docs(spark, rows)).collect()), key=str)
+    assert stay([(3, y), (5, y), (5, x)]) == [(3, y), (5, x)]
+    # one id joins no unlike texts, and of copies one row stays
+    assert stay([(3, x), (3, y), (4, x), (2, y)]) == [(2, y), (3, x)]
+    assert stay([(None, x), (None, x), (7, x), (None, y), (None, "")]) == [(7, x), (None, ""), (None, y)]
+
+
+def test_scratch_tables_go_and_lasting_ones_stay(spark):
+    from driftgate.llm import work
+
+    with work.scratch(spark) as lasting:
+        inner = work.stored(spark.range(3), "inner")
+        outer = lasting(inner.where("id > 0"), "outer")
+    assert outer.count() == 2
+    with pytest.raises(Exception, match="(?i)not.exist|doesn't exist|FileNotFound"):
+        spark.read.parquet(inner.inputFiles()[0])
+
+
 def test_near_duplicates_edge_cases(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, "z " * 60_000)]
     got = md.near_duplicates(docs(spark, rows)).collect()
