@@ -31,7 +31,8 @@ from driftgate.llm.work import table
 
 KEY = r"[A-Za-z0-9_+/=\-]{16,}"
 #: A name and its assignment at the end of the text before a run, at the start of a run, and marks between items of a list.
-NAME_BEFORE, NAME_WITHIN, ITEM = r"""([A-Za-z0-9_.\-]+)["'`\\]*[=:]+["'`\\(\[{]*$""", r"^([A-Za-z0-9_.\-]+)=[^=]", r"""^["'`\\]*[,;|]["'`\\]*$"""
+#: A name is entered at its first character only, and nothing is given back, so a long run costs no more than its length.
+NAME_BEFORE, NAME_WITHIN, ITEM = r"""(?<![A-Za-z0-9_.\-])([A-Za-z0-9_.\-]++)["'`\\]*+[=:]++["'`\\(\[{]*+$""", r"^([A-Za-z0-9_.\-]+)=[^=]", r"""^["'`\\]*[,;|]["'`\\]*$"""
 NAMES = r"(?i)(token|secret|passw|passwd|pwd|api|apikey|auth|bearer|credential|private|access|key)"
 #: Short words that long harmless words are often made of.
 DICTIONARY = ["able", "and", "con", "der", "die", "ein", "ent", "ere", "est", "example", "for", "hat", "her", "ing", "ion", "ity", "keit", "lich", "ment", "nd", "not", "ous", "our", "que", "sample", "sch", "ser", "st", "test", "th", "the", "ther", "tion", "und", "ung", "ver", "was", "with", "you"]
@@ -103,7 +104,9 @@ def seed_findings(spark: SparkSession, rows: int = SEED_ROWS, start: int = 0, kn
     long_word = F.concat(*(pick(k, *DICTIONARY) for k in range(7)))
     common = [w for w in known or [] if w.isascii()][:1000]
     if common:
-        several = F.concat_ws("_", *(pick(20 + k, *common) for k in range(5)))
+        # one literal, not one a word and place
+        words = F.split(F.lit(" ".join(common)), " ")
+        several = F.concat_ws("_", *(F.element_at(words, (F.pmod(F.xxhash64(n, F.lit(1020 + k)), F.lit(len(common))) + 1).cast("int")) for k in range(5)))
         long_word = F.when((h(7) < 3) & (F.length(several) >= 16), several).otherwise(long_word)
     digits = F.regexp_replace(F.concat(F.abs(F.xxhash64(n, F.lit(1))).cast("string"), F.abs(F.xxhash64(n, F.lit(2))).cast("string")), "-", "")
     kind = F.pmod(n, F.lit(12))
@@ -152,10 +155,11 @@ def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
     found = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
     lead = lambda j: F.concat(F.when(j > 0, F.get("tokens", j - 1)).otherwise(F.lit("")), F.get("gaps", j))
     near = near.withColumn("names", F.transform("tokens", lambda t, j: F.coalesce(found(lead(j), NAME_BEFORE), F.when(j > 0, found(t, NAME_WITHIN)))))
-    # for each run the last name before it
-    nothing = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out"))
-    passed = F.aggregate("names", nothing, lambda seen, n: F.struct(F.coalesce(n, seen["last"]).alias("last"), F.array_append(seen["out"], seen["last"]).alias("out")))
-    near = near.withColumn("earlier", passed["out"])
+    # for each run the last name before it: each name fills the places up to the next one
+    near = near.withColumn("named", F.filter(F.transform("names", lambda n, j: F.struct(j.alias("j"), n.alias("name"))), lambda x: x["name"].isNotNull()))
+    near = near.withColumn("places", F.concat("named.j", F.array(F.size("names"))))
+    filled = F.flatten(F.transform("named", lambda x, k: F.array_repeat(x["name"], F.get("places", k + 1) - x["j"])))
+    near = near.withColumn("earlier", F.concat(F.array_repeat(F.lit(None).cast("string"), F.get("places", F.lit(0)) + 1), filled))
     last = F.size("tokens") - 1
 
     def run(token: Column, j: Column) -> Column:
