@@ -11,7 +11,8 @@ Most texts hold none of a template's distinctive words. Those words are the fewe
 without which no cosine can reach ``LEAST`` (the rest of the template is too light, by the
 Cauchy-Schwarz inequality), so a text without any of them is passed over without loss. Elsewhere
 a window's cosine is first bounded from above by running sums (its norm is at least that of as many
-different words), and only windows that can still win are weighed exactly.
+different words). Where a bound can still win, the cosines of all windows of that length follow from sums over
+pairs of equal words, and of the windows that then share the largest, those of different words are weighed exactly.
 
 A file speaks for its directory if it is a copy of a licence, if its name says so (LICENSE, COPYING)
 and it has a notice, or if it is mostly notice. A file without a notice
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftgate.llm.licence_texts import HEADERS, SHORT, whole_texts
-from driftgate.llm.work import attach, stored, table
+from driftgate.llm.work import attach, slices, stored, table
 
 LEAST, LEAST_WHOLE, OF_FILE = 0.55, 0.8, 0.3
 PIECE = 50_000
@@ -70,7 +71,7 @@ def _document_frequency(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums = shared.value, Counter()
-        for batch in batches:
+        for batch in slices(batches):
             sums[""] += batch.num_rows
             for text in batch.column(0).to_pylist():
                 sums.update(known.intersection(terms(text)))
@@ -84,6 +85,16 @@ def _whole_terms() -> dict[str, Counter]:
     return {name: Counter(terms(t)) for name, t in sorted(whole_texts().items())}
 
 
+def _pairs(kinds: np.ndarray, square: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """For the windows that begin at 0, 1, ...: the sum of a word's square over pairs of its places."""
+    starts, out = np.arange(len(ends)), np.zeros(len(ends))
+    for apart in range(1, min(size, len(kinds))):
+        here = np.concatenate([[0.0], np.cumsum(np.where(kinds[apart:] == kinds[:-apart], square[:-apart], 0.0))])
+        last = np.maximum(ends - apart, starts)
+        out += here[np.minimum(last, len(here) - 1)] - here[np.minimum(starts, len(here) - 1)]
+    return out
+
+
 class Weights:
     """Inverse document frequencies, vectors of length one of notices and whole texts, and the distinctive words."""
 
@@ -150,19 +161,27 @@ class Weights:
             return name, cosine, 1.0, True
         if self.distinctive.isdisjoint(counts.keys()):
             return None, 0.0, 0.0, False
-        at = np.fromiter((self.at.get(w, -1) for w in found), np.int64, len(found))
+        places = dict(self.at)  # words outside get places of their own
+        kinds = np.fromiter((places.setdefault(w, len(places)) for w in found), np.int64, len(found))
+        at = np.minimum(kinds, len(self.at))
         name, most, where, share = None, 0.0, 0, 0.0
         for piece in range(0, len(at), PIECE):  # bounds the running sums; a piece ends with the windows that start in it
-            near = at[piece : piece + PIECE + LENGTHS[-1]]
+            near, own_kinds = at[piece : piece + PIECE + LENGTHS[-1]], kinds[piece : piece + PIECE + LENGTHS[-1]]
             products = np.concatenate([np.zeros((1, len(self.names))), np.cumsum(self.part[near], 0)])
             squares = np.concatenate([[0.0], np.cumsum(self.square[near])])
             starts = np.arange(min(PIECE, len(near)))
             for size in LENGTHS:  # every window; those at the end of the text are cut off there
                 ends = np.minimum(starts + size, len(near))
-                at_most = (products[ends] - products[starts]).max(1) / np.sqrt(squares[ends] - squares[starts])
-                for start in np.flatnonzero(at_most >= max(LEAST, most) - 1e-9).tolist():
-                    if at_most[start] < most - 1e-9:
+                product, square = (products[ends] - products[starts]).max(1), squares[ends] - squares[starts]
+                if (product / np.sqrt(square)).max() < max(LEAST, most) - 1e-9:
+                    continue
+                cosines = product / np.sqrt(square + 2 * _pairs(own_kinds, self.square[near], ends, size))
+                seen = set()
+                for start in np.flatnonzero(cosines >= max(LEAST, most, cosines.max()) - 1e-9).tolist():
+                    words = np.sort(own_kinds[start : start + size]).tobytes()
+                    if words in seen:  # the same cosine, further behind
                         continue
+                    seen.add(words)
                     own, cosine = self.best(found[piece + start : piece + start + size])
                     if own and (cosine > most + 1e-12 or cosine > most - 1e-12 and piece + start < where):
                         name, most, where, share = own, cosine, piece + start, (ends[start] - start) / len(found)
@@ -183,7 +202,7 @@ def weights(docs: DataFrame) -> Weights:
 def _notices(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = [found.notice(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_())))], names=["doc_id", "path", "own", "cosine", "share", "copy"])
 
