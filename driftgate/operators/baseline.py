@@ -27,9 +27,14 @@ def first_wins(cases: DataFrame, order: Sequence[str] = ("position",)) -> DataFr
     return cases.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
 
 
+def missing(batch: DataFrame, store: DataFrame) -> DataFrame:
+    """Rows of a batch that a store lacks."""
+    return batch.join(store.select("case_id"), "case_id", "left_anti")
+
+
 def unseen(batch: DataFrame, store: DataFrame, order: Sequence[str] = ("position",)) -> DataFrame:
     """Rows of a batch that a store lacks, one of each id."""
-    return first_wins(batch, order).join(store.select("case_id"), "case_id", "left_anti")
+    return missing(first_wins(batch, order), store)
 
 
 def tagged(cases: DataFrame, wanted: Sequence[str], limit: int | None = None) -> DataFrame:

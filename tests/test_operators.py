@@ -87,10 +87,9 @@ def test_tool_arguments(spark):
 def test_store(spark, tmp_path):
     at = str(tmp_path / "base")
     batch = lambda *ids: spark.createDataFrame([(x, k) for k, x in enumerate(ids)], "case_id string, position long")
-    assert store.extend(spark, batch("a", "b", "a"), at) == 2
-    store.extend(spark, batch("b", "c"), at)
+    assert [store.extend(spark, batch(*ids), at) for ids in (("a", "b", "a"), ("b", "c"), ("b", "c"))] == [2, 1, 0]
     assert sorted(r.case_id for r in store.read(spark, at).collect()) == ["a", "b", "c"]
-    assert store.replace_all(spark, batch("z", "z"), at) == 1 and store.read(spark, at).count() == 1 and store.read(spark, at, 0).count() == 3
+    assert store.replace_all(spark, batch("z", "y"), at) == 2 and store.read(spark, at).count() == 2 and store.read(spark, at, 1).count() == 3
     runs = str(tmp_path / "runs")
     for k, name in enumerate(("r1", "r2")):
         store.save_run(batch("a"), runs, name, F.lit(datetime.datetime(2026, 1, 1 + k)))
