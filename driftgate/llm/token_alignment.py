@@ -27,6 +27,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftgate.llm.packing import BYTE_SIGNS, PLAIN
-from driftgate.llm.work import attach, held, slices, stored, table
+from driftgate.llm.work import Recent, attach, held, slices, stored, table
 
 #: Characters of a chunk of a long text, and bytes whose tokens DuckDB joins at a time.
 CHUNK, SLICE_BYTES = 100_000, 1_000_000
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 100_000
 #: Pairs of ids whose counts are broadcast, 24 bytes each; beyond that they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Where a text may be cut.
@@ -101,10 +104,17 @@ class Pieces:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in pieces]
         #: whether a space can only begin a piece, so that a text can be cut before one
         self.cuts = not any(SPACE in p.lstrip(SPACE) for _, p in pieces)
+        self.words = Recent(self._whole, KEPT_WORDS)
 
-    def __call__(self, text: str) -> list[int]:
+    def _whole(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
+    def __call__(self, text: str) -> list[int]:
+        """Ids of a text; between single spaces a word's ids are those that it has alone, and are kept."""
+        if self.cuts and SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return list(chain.from_iterable(map(self.words.__getitem__, text.split(" "))))
+        return self._whole(text)
+
 
 def chunks(text: str, size: int = CHUNK) -> list[str]:
     """Parts of space + text that both tokenizers read alike alone; each begins with a space."""
