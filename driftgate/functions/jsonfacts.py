@@ -33,6 +33,21 @@ def is_json(text: Column) -> Column:
     return F.coalesce(wrapped & (F.length(body) > 0) & F.try_parse_json(body).isNotNull(), F.lit(False))
 
 
+def deeper_than(text: Column, most: int) -> Column:
+    """Whether brackets of a JSON text nest deeper than that; brackets inside strings don't count, and nothing is parsed."""
+    aside = F.replace(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    brackets = F.regexp_replace(F.regexp_replace(aside, '"[^"]*+"', ""), r"[^\[\]{}]", "")
+    opened = F.length(F.regexp_replace(brackets, r"[\]}]", ""))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(seen: Column, bracket: Column) -> Column:
+        now = seen["now"] + F.when(bracket.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(seen["most"], now).alias("most"))
+
+    # few brackets can't nest deep
+    return F.coalesce((opened > most) & (F.aggregate(F.split(brackets, "(?!^)"), start, step)["most"] > most), F.lit(False))
+
+
 def canonical(text: Column) -> Column:
     """Key-sorted JSON text; what isn't JSON stays as it is."""
     return F.coalesce(F.to_json(F.try_parse_json(text)), text)

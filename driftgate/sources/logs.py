@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 
 from driftgate.functions import jsonfacts
 from driftgate.operators import baseline
-from driftgate.sources import arrays
+from driftgate.sources import arrays, cases
 
-ROLES = ("system", "user", "assistant", "tool")
-#: Fixed value: characters of a payload, at most.
-MOST_CHARS = 4 * 1024 * 1024
+ROLES = cases.ROLES
+#: Characters of a payload, bytes of a line and depth of its JSON, at most.
+MOST_CHARS, MOST_LINE_BYTES, MOST_DEPTH = 4 * 1024 * 1024, 64 * 1024 * 1024, 64
 NATIVE = ("case_id", "input", "output", "reference")
-#: Keys that a dumped case may have.
-NATIVE_KEYS = (*NATIVE, "captured_at", "tags", "expectations", "redacted", "revision", "accepted_at", "previous_reference")
 #: Where a line stands: file, first byte of its block, place in the block; ordered like the lines.
 POSITION = "struct<file:string,block:bigint,row:bigint>"
 
@@ -126,10 +124,6 @@ def _shape() -> Column:
     )
 
 
-def _by_shape(**by: Column) -> Column:
-    return F.coalesce(*(F.when(F.col("shape") == s, c) for s, c in by.items()))
-
-
 def _response(at: str) -> dict[str, Column]:
     """Text, finish reason, calls and model of a response body: chat choices, content blocks or plain text."""
     blocks = F.filter(_get(f"{at}.content", "array<variant>"), lambda b: F.try_variant_get(b, F.lit("$.type"), "string") == "text")
@@ -156,40 +150,70 @@ _REQUEST = {"proxy": "$.request", "explicit": "$.input", "flat": "$", "native":
 INPUT = ("temperature", "top_p", "max_tokens", "seed", "stop", "tools", "response_format")
 
 
-def _number(name: str, kind: str) -> Column:
+def _number(shape: str, name: str, kind: str) -> Column:
     """A number where the shape keeps it; booleans and strings aren't numbers."""
     ok = lambda at: ~_is(f"{at}.{name}", "BOOLEAN") & ~_is(f"{at}.{name}", "STRING")
-    return F.coalesce(*(F.when((F.col("shape") == s) & ok(at), _get(f"{at}.{name}", kind)) for s, places in _PARAMS.items() for at in places))
+    return F.coalesce(*(F.when(ok(at), _get(f"{at}.{name}", kind)) for at in _PARAMS[shape]))
 
 
-def _stop() -> Column:
+def _stop(shape: str) -> Column:
     """Stop sequences as a list; one string is a list of one."""
-    here = lambda s, at: F.when((F.col("shape") == s) & _is(f"{at}.stop", "ARRAY"), _get(f"{at}.stop", "array<string>")).when((F.col("shape") == s) & _is(f"{at}.stop", "STRING"), F.array(_get(f"{at}.stop")))
-    return F.coalesce(*(here(s, at) for s, places in _PARAMS.items() for at in places), F.array().cast("array<string>"))
+    here = lambda at: F.when(_is(f"{at}.stop", "ARRAY"), _get(f"{at}.stop", "array<string>")).when(_is(f"{at}.stop", "STRING"), F.array(_get(f"{at}.stop")))
+    return F.coalesce(*(here(at) for at in _PARAMS[shape]), F.array().cast("array<string>"))
 
 
-def _inputs() -> dict[str, Column]:
-    part = lambda name, kind: F.coalesce(*(F.when((F.col("shape") == s) & _is(f"{at}.{name}", kind), F.to_json(_get(f"{at}.{name}", "variant"))) for s, at in _REQUEST.items()))
+def _inputs(shape: str) -> dict[str, Column]:
+    part = lambda name, kind: F.when(_is(f"{_REQUEST[shape]}.{name}", kind), F.to_json(_get(f"{_REQUEST[shape]}.{name}", "variant")))
     return {
-        "temperature": _number("temperature", "double"),
-        "top_p": _number("top_p", "double"),
-        "max_tokens": F.coalesce(_number("max_tokens", "bigint"), _number("max_completion_tokens", "bigint")),
-        "seed": _number("seed", "bigint"),
-        "stop": _stop(),
+        "temperature": _number(shape, "temperature", "double"),
+        "top_p": _number(shape, "top_p", "double"),
+        "max_tokens": F.coalesce(_number(shape, "max_tokens", "bigint"), _number(shape, "max_completion_tokens", "bigint")),
+        "seed": _number(shape, "seed", "bigint"),
+        "stop": _stop(shape),
         "tools": part("tools", "ARRAY"),
         "response_format": part("response_format", "OBJECT"),
     }
 
 
+def _body(shape: str) -> dict[str, Column]:
+    if shape != "flat":
+        return _response("$.response" if shape == "proxy" else "$.output")
+    string = lambda at: F.when(_is(at, "STRING"), _get(at))
+    unsaid = _get("$.completion", "variant").isNull()
+    completion = F.coalesce(string("$.completion"), F.when(unsaid, string("$.response_text")), F.when(unsaid & _get("$.response_text", "variant").isNull(), F.lit("")))
+    return {"text": completion, "finish": F.lit("stop"), "calls": F.lit(None).cast("array<variant>"), "model": F.lit(None).cast("string")}
+
+
+def _case(shape: str) -> Column:
+    """Everything that a record of one shape says of its case, in one struct; all shapes have the same fields."""
+    body = _body(shape)
+    model = F.coalesce(_get("$.model"), *([_get("$.request.model")] if shape == "proxy" else []), body["model"], F.lit("unknown"))
+    named = cases.model(F.col("v"), "$.reference")
+    tags = F.when(_is("$.tags", "ARRAY"), _get("$.tags", "array<string>")).when(_is("$.tags", "STRING"), F.array(_get("$.tags")))
+    unsaid = {n: F.lit(cases.DEFAULTS.get(n)).cast(t) if n != "skip_checks" else F.array().cast(t) for n, t in cases.COLUMNS.items()}
+    fields = {
+        "messages": _messages(_get(f"{_REQUEST[shape]}.messages", "array<variant>")),
+        "base_text": F.coalesce(body["text"], F.lit("")) if shape == "native" else body["text"],
+        "base_finish": body["finish"],
+        "base_tools": tool_calls(body["calls"]),
+        "reference": F.coalesce(named, F.concat_ws(":", F.coalesce(_get("$.provider"), F.lit("unknown")), model)),
+        "tags": F.coalesce(tags, F.array().cast("array<string>")),
+        "given_id": F.when(_is("$.case_id", "STRING"), _get("$.case_id")),
+        **_inputs(shape),
+        **(cases.columns(F.col("v")) if shape == "native" else unsaid),
+        "problem": cases.problem("v") if shape == "native" else F.lit(None).cast("string"),
+    }
+    return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+
 def _reason() -> Column:
     bad_role = F.exists("messages", lambda m: ~F.coalesce(m["role"].isin(*ROLES), F.lit(False)))
     longest = F.greatest(F.length(F.coalesce("base_text", F.lit(""))), F.array_max(F.transform("messages", lambda m: F.length(m["content"]))))
-    strange = F.size(F.array_except(F.json_object_keys("value"), F.array(*(F.lit(k) for k in NATIVE_KEYS)))) > 0
-    typed = _is("$.case_id", "STRING") & _is("$.input", "OBJECT") & _is("$.output", "OBJECT") & F.col("named").isNotNull()
     return (
-        F.when(F.col("shape") == "not JSON", "not JSON")
+        F.when(F.col("guard").isNotNull(), F.col("guard"))
+        .when(F.col("shape") == "not JSON", "not JSON")
         .when(F.col("shape") == "unknown", "unrecognised shape")
-        .when((F.col("shape") == "native") & (~typed | strange), "native case is invalid")
+        .when(F.col("problem").isNotNull(), F.concat(F.lit("native case is invalid: "), F.col("problem")))
         .when(F.col("messages").isNull(), "messages must be a list")
         .when(F.size("messages") == 0, "no messages")
         .when(bad_role, "unsupported role")
@@ -198,34 +222,34 @@ def _reason() -> Column:
     )
 
 
+def _guard() -> Column:
+    """Why a line isn't parsed at all."""
+    return F.when(F.octet_length("value") > MOST_LINE_BYTES, "line too large").when(jsonfacts.deeper_than(F.col("value"), MOST_DEPTH), "JSON too deep")
+
+
+def _strict() -> Column:
+    """The record of a line: an array around it must have one element, and it must fit into an object, so junk behind it can't hide."""
+    whole = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
+    alone = F.try_variant_get(whole, F.lit("$[1]"), "variant").isNull() & F.try_parse_json(F.concat(F.lit('{"v":'), "value", F.lit("}"))).isNotNull()
+    return F.when(F.col("guard").isNull() & alone, F.try_variant_get(whole, F.lit("$[0]"), "variant"))
+
+
 def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Every line with its shape, the case's columns, and a reason where it can't be one."""
-    rows = lines.withColumnRenamed(value, "value").withColumn("v", F.when(jsonfacts.is_json(F.col("value")), F.try_parse_json("value")))
-    rows = rows.withColumn("shape", _shape())
-    listed = _by_shape(**{s: _get(f"{at}.messages", "array<variant>") for s, at in _REQUEST.items()})
-    rows = rows.withColumn("messages", _messages(listed))
-    bodies = {"proxy": _response("$.response"), "explicit": _response("$.output"), "native": _response("$.output")}
-    body = lambda name: [F.when(F.col("shape") == s, b[name]) for s, b in bodies.items()]
-    flat = F.col("shape") == "flat"
-    string = lambda at: F.when(_is(at, "STRING"), _get(at))
-    completion = F.coalesce(string("$.completion"), F.when(_get("$.completion", "variant").isNull(), string("$.response_text")), F.when(_get("$.completion", "variant").isNull() & _get("$.response_text", "variant").isNull(), F.lit("")))
-    both = _get("$.reference.provider").isNotNull() & _get("$.reference.model").isNotNull()
-    named = F.when(_is("$.reference", "STRING"), _get("$.reference")).when(_is("$.reference", "OBJECT") & both, F.concat_ws(":", _get("$.reference.provider"), _get("$.reference.model")))
-    model = F.coalesce(_get("$.model"), F.when(F.col("shape") == "proxy", _get("$.request.model")), *body("model"), F.lit("unknown"))
-    made = F.concat_ws(":", F.coalesce(_get("$.provider"), F.lit("unknown")), model)
-    tags = F.when(_is("$.tags", "ARRAY"), _get("$.tags", "array<string>")).when(_is("$.tags", "STRING"), F.array(_get("$.tags")))
-    rows = rows.withColumns({
-        "base_text": F.coalesce(*body("text"), F.when(flat, completion)),
-        "base_finish": F.coalesce(*body("finish"), F.when(flat, "stop")),
-        "base_tools": tool_calls(F.coalesce(*body("calls"))),
-        "named": named, "reference": F.coalesce(named, made),
-        "tags": F.coalesce(tags, F.array().cast("array<string>")),
-        "given_id": string("$.case_id"),
-        **_inputs(),
-    })
-    # a filter on the reason must not be pushed below, where it would parse every line once more for
-    # each mention of a field; a generator of one row stops it
-    return rows.withColumn("reason", F.explode(F.array(_reason()))).drop("v", "named")
+    """Every line with its shape, the case's columns, and a reason where it can't be one.
+
+    A record's shape is found first, and only the fields of that shape are looked for.
+    """
+    rows = lines.withColumnRenamed(value, "value").withColumn("guard", _guard()).withColumn("v", _strict()).withColumn("shape", _shape())
+    made = {s: _case(s) for s in _REQUEST}
+    case = F.coalesce(*(F.when(F.col("shape") == shape, struct) for shape, struct in made.items()))
+    # a generator of one row: what is asked of the case's fields stays above the expressions behind them,
+    # which would otherwise be worked out once for each mention of a field
+    rows = rows.withColumn("case", F.explode(F.array(case))).drop("v")
+    fields = rows.schema["case"].dataType.fieldNames()
+    kept = [c for c in rows.columns if c != "case" and c not in (*fields, "reason")]
+    rows = rows.select(*kept, "case.*").withColumn("reason", _reason()).drop("problem", "guard")
+    # an id that the input itself gives is derived, and follows it when it is redacted
+    return rows.withColumn("given_id", F.when(~F.col("given_id").eqNullSafe(F.when(F.col("given_id").isNotNull(), fingerprint())), F.col("given_id")))
 
 
 def fingerprint() -> Column:

@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftgate.functions import redaction
-from driftgate.sources import logs, store
-
+from driftgate.sources import cases, logs, store
 
 #: What a stored case keeps of a log line.
-KEPT = ("case_id", "position", "messages", "base_text", "base_tools", "base_finish", "reference", "tags", *logs.INPUT, "redacted")
+KEPT = ("case_id", "position", "messages", "base_text", "base_tools", "base_finish", "reference", "tags", *logs.INPUT, *cases.COLUMNS)
 
 
 def prepared(rows: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def test_native_cases(spark):
     good = '{"case_id":"a","input":{"messages":[{"role":"user","content":"q"}],"params":{"seed":3}},"output":{"text":"t"},"reference":{"provider":"p","model":"m"}}'
     bad = [good.replace('"case_id":"a"', '"case_id":7'), good.replace('{"provider":"p","model":"m"}', '{"provider":"p"}'), good.replace('"case_id"', '"surprise":1,"case_id"')]
     rows = logs.parsed(spark.createDataFrame(list(enumerate([good, *bad])), "position long, value string")).orderBy("position").collect()
-    assert [r.reason for r in rows] == [None, *["native case is invalid"] * 3]
+    assert [r.reason for r in rows] == [None, *(f"native case is invalid: {x}" for x in ("case_id is not a text", "reference.model is missing", "surprise is not known"))]
     assert (rows[0].reference, rows[0].seed, rows[0].given_id) == ("p:m", 3, "a")
 
 
