@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgate.functions import redaction
-from driftgate.operators import baseline, judge
+from driftgate.operators import baseline, checks, judge, verdict
 from driftgate.plans import views
 from driftgate.sources import logs
 
@@ -128,7 +128,32 @@ def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.replies(views.text_pairs(spark, sf_dir).select("case_id", reply.alias("cand_text")))
 
 
+def dumped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A baseline's own dump, made from the conversations: four kinds of expectations, and revisions."""
+    p = views.text_pairs(spark, sf_dir)
+    ask = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
+    k = F.col("position") % 4
+    expect = F.struct(
+        F.when(k == 0, F.lit(True)).alias("exact_match"), F.when(k == 1, F.lit(0.1)).alias("max_length_delta_ratio"), F.when(k == 2, F.lit(False)).alias("forbid_refusal"),
+        F.when(k == 3, F.array(F.lit("empty_output"), F.lit("length_delta"))).alias("skip_checks"),
+    )
+    output = F.struct(F.col("base_text").alias("text"), F.col("base_finish").alias("finish_reason"))
+    model = F.struct(F.lit("log").alias("provider"), F.lit("m").alias("model"))
+    line = F.to_json(F.struct("case_id", F.struct(ask.alias("messages")).alias("input"), output.alias("output"), model.alias("reference"), (F.col("turn") % 3 + 1).alias("revision"), expect.alias("expectations")))
+    return p.select("position", line.alias("value"))
+
+
+def capture_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of a dump, checked as they expect: which checks fail and the verdict."""
+    found = logs.accepted(logs.parsed(dumped_lines(spark, sf_dir))).drop("position")
+    answers = views.text_pairs(spark, sf_dir).select("case_id", "cand_text", "cand_finish")
+    outcomes = verdict.classify(checks.evaluate(found.join(answers, "case_id"), json=False))
+    failed = F.array_join(F.transform(F.filter("checks", lambda c: c["status"] == "fail"), lambda c: c["check"]), ",")
+    return outcomes.select("case_id", "reference", "revision", failed.alias("failed"), "verdict")
+
+
 QUERIES = {
+    "capture_expectations": capture_expectations,
     "capture_tools": capture_tools,
     "redact_case": redact_case,
     "input_previews": input_previews,
@@ -181,6 +206,16 @@ _KEY_GONE, _MAIL_GONE = _TOKEN.format("github_token", "'ghp_' || substr(sha256(c
 _T = f"WITH {views.SQL_TEXT.strip()}"
 _K = "(conv_id + turn) % 6"
 SQL = {
+    "capture_expectations": f"""{_T}, f AS (SELECT *, array_to_string(list_filter([
+    CASE WHEN position % 4 <> 3 AND {views.sql_trim("base_text")} <> '' AND {views.sql_trim("cand_text")} = '' THEN 'empty_output' END,
+    CASE WHEN cand_finish = 'length' AND base_finish <> 'length' THEN 'truncation' END,
+    CASE WHEN position % 4 <> 2 AND {views.sql_refuses("cand_text")} AND NOT {views.sql_refuses("base_text")} THEN 'refusal' END,
+    CASE WHEN position % 4 = 0 AND {views.sql_norm("base_text")} <> {views.sql_norm("cand_text")} THEN 'exact_match' END,
+    CASE WHEN position % 4 <> 3 AND abs(length({views.sql_trim("cand_text")}) - length({views.sql_trim("base_text")})) / nullif(length({views.sql_trim("base_text")}), 0)::DOUBLE > CASE position % 4 WHEN 1 THEN 0.1 ELSE 0.5 END THEN 'length_delta' END
+  ], lambda x: x IS NOT NULL), ',') AS failed FROM pairs)
+SELECT case_id, 'log:m' AS reference, turn % 3 + 1 AS revision, failed,
+  CASE WHEN cand_text IS NULL THEN 'error' WHEN regexp_matches(failed, 'empty_output|truncation|refusal|exact_match') THEN 'broken'
+       WHEN {views.sql_norm("base_text")} = {views.sql_norm("cand_text")} THEN 'equivalent' ELSE 'unverified' END AS verdict FROM f""",
     "capture_tools": """SELECT l_orderkey AS position, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, lower(l_linestatus) || lower(l_returnflag)) - 1 AS nth,
   'ship_' || lower(l_linestatus) || lower(l_returnflag) AS name, '{"part":' || l_partkey || ',"line":' || l_linenumber || '}' AS arguments FROM lineitem""",
     "redact_case": f"""{_T} SELECT position, prompt || ' ' || {_MAIL_GONE} AS content, '{{"token":"' || {_KEY_GONE} || '","to":["' || {_MAIL_GONE} || '",1,null],"u1@example.com":true}}' AS asked,
