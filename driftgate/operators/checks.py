@@ -6,8 +6,10 @@ facts are extracted once a side; every check is an expression over the row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,10 @@ def completed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({n: F.lit(None).cast(t) for n, t in COLUMNS.items() if n not in pairs.columns})
 
 
+#: Status of one's own check on a row on which it raised; it is reported as a warning.
+RAISED = "raised"
+
+
 @dataclass(frozen=True)
 class Check:
     """A check of one's own is one of these too: its status, and what is said where it fails."""
@@ -58,12 +64,68 @@ class Check:
     def result(self, name: str) -> Column:
         """The struct, read from the column ``s_<name>`` that holds the status."""
         lit = lambda x: F.lit(x) if isinstance(x, str) else x
-        failed = F.col(f"s_{name}") == "fail"
+        raised, failed = F.col(f"s_{name}") == RAISED, F.col(f"s_{name}").isin("fail", RAISED)
         return F.struct(
-            F.lit(name).alias("check"), F.col(f"s_{name}").alias("status"), F.when(failed, lit(self.severity)).otherwise("info").alias("severity"),
-            F.when(failed, lit(self.message)).otherwise("").alias("message"), (F.when(failed, self.evidence) if self.evidence is not None else F.lit(None)).cast("string").alias("evidence"),
+            F.lit(name).alias("check"), F.when(raised, "fail").otherwise(F.col(f"s_{name}")).alias("status"), F.when(raised, "warning").when(failed, lit(self.severity)).otherwise("info").alias("severity"),
+            F.when(failed, lit(self.message)).otherwise("").alias("message"), (F.when(failed & ~raised, self.evidence) if self.evidence is not None else F.lit(None)).cast("string").alias("evidence"),
         )
 
+    def isolated(self) -> Check:
+        """The same check, which gives a warning on rows on which one of its expressions raises."""
+        lit = lambda x: F.lit(x) if isinstance(x, str) else x
+        said = F.coalesce(tried(lit(self.message)), F.lit("check raised an error"))
+        return Check(F.coalesce(tried(self.status), F.lit(RAISED)), F.coalesce(tried(lit(self.severity)), F.lit("warning")), F.when(tried(self.status).isNull(), "check raised an error").otherwise(said), None if self.evidence is None else tried(self.evidence))
+
+
+def tried(value: Column) -> Column:
+    """A text column, null on rows on which its expression raises (a cast, a division, an index under ANSI rules).
+
+    The conversion to bytes is the built-in function that gives null for whatever is raised below it; a lambda
+    around the expression keeps parts that it shares with others from being worked out outside.
+    """
+    inside = F.get(F.transform(F.array(F.lit(0)), lambda _: value.cast("string")), F.lit(0))
+    return F.try_to_binary(inside, F.lit("utf-8")).cast("string")
+
+
+@dataclass(frozen=True)
+class Hosted:
+    """A check of one's own in Python, over values of ``columns``, row by row in Arrow batches.
+
+    The function gives True (pass), False (fail), None (skip), or a status and a message. Where it
+    raises, that row has a warning that says so, and no other row notices.
+    """
+
+    function: Callable
+    columns: tuple[str, ...]
+    severity: str = "blocking"
+    message: str = ""
+
+    def column(self) -> Column:
+        function, message = self.function, self.message
+
+        def one(values: tuple) -> tuple[str, str]:
+            try:
+                found = function(*values)
+                if found is None or isinstance(found, bool):
+                    return {None: "skip", True: "pass", False: "fail"}[found], message
+                status, said = found
+                if status not in ("pass", "fail", "skip"):
+                    raise ValueError(f"no status: {status!r}")
+                return status, str(said)
+            except Exception as e:  # whatever one's own code raises belongs to this row alone
+                return RAISED, f"check raised {type(e).__name__}: {e}"
+
+        @F.arrow_udf("struct<status:string,message:string>")
+        def host(*arrays: pa.Array) -> pa.Array:
+            rows = [one(values) for values in zip(*(a.to_pylist() for a in arrays), strict=True)]
+            return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["status", "message"])
+
+        return host(*self.columns)
+
+    def check(self, name: str) -> Check:
+        """The check that reads the column ``h_<name>``."""
+        return Check(F.col(f"h_{name}.status"), self.severity, F.col(f"h_{name}.message"))
+
 
 def _status(*rules: tuple[Column, str], otherwise: str = "pass") -> Column:
     out = F.when(F.coalesce(rules[0][0], F.lit(False)), rules[0][1])
@@ -185,21 +247,26 @@ def with_facts(pairs: DataFrame, settings: Settings, json: bool = True) -> DataF
 PROSE = ("empty_output", "truncation", "refusal", "tool_calls", "exact_match", "length_delta")
 
 
-def evaluate(pairs: DataFrame, settings: Settings | None = None, json: bool = True, extra: dict[str, Check] | None = None, only: tuple[str, ...] = ()) -> DataFrame:
+def evaluate(pairs: DataFrame, settings: Settings | None = None, json: bool = True, extra: dict[str, Check | Hosted] | None = None, only: tuple[str, ...] = ()) -> DataFrame:
     """``pairs`` with ``checks``, an array of results in order; ``extra`` adds checks of one's own.
 
     ``json=False`` says that outputs are prose without declared formats: checks that would be
-    skipped on each row are left out of the plan, and no Python runs. ``only`` names the checks to run.
+    skipped on each row are left out of the plan, and no Python runs but that of checks of one's own. ``only`` names the
+    checks to run. A check of one's own that raises on a row is a warning on that row.
     """
     s = settings or Settings()
-    every = {**results(s), **(extra or {})}
-    wanted = set(only or every) & set(every if json else (*PROSE, *(extra or {})))
+    extra = extra or {}
+    hosted = {n: c for n, c in extra.items() if isinstance(c, Hosted)}
+    own = {n: c.check(n) if isinstance(c, Hosted) else c.isolated() for n, c in extra.items()}
+    every = {**results(s), **own}
+    wanted = set(only or every) & set(every if json else (*PROSE, *own))
     every = {n: c for n, c in every.items() if n in wanted}
     every = {n: c for n, c in every.items() if n not in s.disabled}
+    rows = with_facts(pairs, s, json).withColumns({f"h_{n}": c.column() for n, c in hosted.items() if n in every})
     # each status is a column of its own, so that it is worked out once a row
-    rows = with_facts(pairs, s, json).withColumns({f"s_{n}": c.status for n, c in every.items()})
+    rows = rows.withColumns({f"s_{n}": c.status for n, c in every.items()})
     run = F.array(*(c.result(n) for n, c in every.items()))
     kept = F.filter(run, lambda x: ~F.coalesce(F.array_contains(F.col("skip_checks"), x["check"]), F.lit(False)))
     if s.warnings_break:
         kept = F.transform(kept, lambda x: x.withField("severity", F.when(x["severity"] == "warning", "blocking").otherwise(x["severity"])))
-    return rows.withColumn("checks", kept).drop(*(f"s_{n}" for n in every))
+    return rows.withColumn("checks", kept).drop(*(f"{k}_{n}" for n in every for k in "sh"))

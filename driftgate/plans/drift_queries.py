@@ -28,6 +28,21 @@ def _one_check_sql(column: str, severity: str = "blocking") -> str:
     return f"WITH {views.SQL_CHECKED.strip()} SELECT case_id, {column} AS status, CASE WHEN {column} = 'fail' THEN '{severity}' ELSE 'info' END AS severity FROM checked"
 
 
+def own_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two checks of one's own that raise on some rows: a cast, and a search in Python; results by case."""
+
+    def mentions(text: str | None) -> tuple[str, str]:
+        text.index("the")  # raises where it isn't there, and on null
+        return "pass", ""
+
+    own = {
+        "first_number": checks.Check(F.when(F.regexp_extract("cand_text", "[0-9]+", 0).cast("int") >= 100, "fail").otherwise("pass"), message="a large number"),
+        "mentions": checks.Hosted(mentions, ("cand_text",)),
+    }
+    found = checks.evaluate(views.text_pairs(spark, sf_dir), json=False, extra=own, only=tuple(own)).select("case_id", F.inline("checks"))
+    return found.select("case_id", "check", "status", "severity")
+
+
 def verdict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.tally(outcomes(spark, sf_dir))
 
@@ -107,6 +122,7 @@ def json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "own_checks": own_checks,
     "verdict_summary": verdict_summary,
     "verdict_by_mutation": verdict_by_mutation,
     "case_verdicts": case_verdicts,
@@ -154,6 +170,10 @@ bn AS (SELECT *, row_number() OVER (PARTITION BY case_id, name ORDER BY k) AS nt
 cn AS (SELECT *, row_number() OVER (PARTITION BY case_id, name ORDER BY k) AS nth FROM c)"""
 
 SQL = {
+    "own_checks": f"""WITH {views.SQL_TEXT.strip()}, n AS (SELECT case_id, cand_text, TRY_CAST(regexp_extract(cand_text, '[0-9]+') AS INTEGER) AS d FROM pairs)
+SELECT case_id, 'first_number' AS "check", CASE WHEN cand_text IS NULL OR d < 100 THEN 'pass' ELSE 'fail' END AS status,
+  CASE WHEN cand_text IS NULL OR d < 100 THEN 'info' WHEN d IS NULL THEN 'warning' ELSE 'blocking' END AS severity FROM n
+UNION ALL SELECT case_id, 'mentions', CASE WHEN contains(cand_text, 'the') THEN 'pass' ELSE 'fail' END, CASE WHEN contains(cand_text, 'the') THEN 'info' ELSE 'warning' END FROM n""",
     "verdict_summary": f"{_O} SELECT {_TALLY}, count(*) FILTER (verdict IN ('broken', 'error')) AS regressions FROM outcomes",
     "verdict_by_mutation": f"{_O} SELECT mutation, verdict, count(*) AS cases FROM outcomes GROUP BY ALL",
     "case_verdicts": f"{_O} SELECT case_id, verdict, array_to_string(list_filter([CASE WHEN c_empty = 'fail' THEN 'empty_output' END, CASE WHEN c_cut = 'fail' THEN 'truncation' END, CASE WHEN c_refusal = 'fail' THEN 'refusal' END, CASE WHEN c_exact = 'fail' THEN 'exact_match' END, CASE WHEN c_length = 'fail' THEN 'length_delta' END], lambda x: x IS NOT NULL), ',') AS failed FROM outcomes",
