@@ -27,7 +27,6 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +35,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftgate.llm.packing import BYTE_SIGNS, PLAIN
-from driftgate.llm.work import Recent, attach, held, slices, stored, table
+from driftgate.llm.work import attach, held, slices, stored, table
 
 #: Characters of a chunk of a long text, and bytes whose tokens DuckDB joins at a time.
 CHUNK, SLICE_BYTES = 100_000, 1_000_000
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 100_000
 #: Pairs of ids whose counts are broadcast, 24 bytes each; beyond that they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Where a text may be cut.
@@ -104,16 +101,9 @@ class Pieces:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in pieces]
         #: whether a space can only begin a piece, so that a text can be cut before one
         self.cuts = not any(SPACE in p.lstrip(SPACE) for _, p in pieces)
-        self.words = Recent(self._whole, KEPT_WORDS)
-
-    def _whole(self, text: str) -> list[int]:
-        return self.model.encode(text, num_threads=1)
 
     def __call__(self, text: str) -> list[int]:
-        """Ids of a text; between single spaces a word's ids are those that it has alone, and are kept."""
-        if self.cuts and SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-            return list(chain.from_iterable(map(self.words.__getitem__, text.split(" "))))
-        return self._whole(text)
+        return self.model.encode(text, num_threads=1)
 
 
 def chunks(text: str, size: int = CHUNK) -> list[str]:
@@ -141,7 +131,7 @@ class Open:
 
 #: Tokens of the first with the cut at their end and the number of their group: cuts before them.
 FIRST = """CREATE OR REPLACE TEMP TABLE first AS
-SELECT doc, id, stop, other, cut, sum(cut::INTEGER) OVER (ORDER BY stop ROWS UNBOUNDED PRECEDING) - cut::INTEGER AS grp
+SELECT doc, id, stop, other, cut, (sum(cut::INTEGER) OVER (ORDER BY stop ROWS UNBOUNDED PRECEDING))::INTEGER - cut::INTEGER AS grp
 FROM (SELECT a.doc, a.id, a.stop, b.id AS other, coalesce(b.stop = a.stop, false) AS cut FROM a ASOF LEFT JOIN b ON a.stop >= b.stop)"""
 #: Both tokenizers' tokens as text in the order of groups; those of the second lie in the group whose bytes hold them.
 GROUPS = """WITH span AS (SELECT grp, coalesce(lag(stop) OVER (ORDER BY stop), 0) AS start, stop FROM first WHERE cut),
@@ -162,7 +152,10 @@ class Joiner:
         import duckdb
 
         self.sides = (first, second)
-        self.widths = tuple(np.array([len(b) for b in side.bytes], np.int64) for side in self.sides)
+        # bytes of a slice are counted in 32 bits
+        self.widths = tuple(np.array([len(b) for b in side.bytes], np.int32) for side in self.sides)
+        self.starts = tuple(np.cumsum(w, dtype=np.int32) - w for w in self.widths)
+        self.flat = tuple(np.frombuffer(b"".join(side.bytes), np.uint8) for side in self.sides)
         # slices are small, so nothing is ever spilled to a local folder
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         self.waiting: list[tuple[Open, np.ndarray, np.ndarray]] = []
@@ -173,12 +166,20 @@ class Joiner:
         first, second = self.sides
         out = []
         for part in chunks(text) if second.cuts else [" " + text]:
-            a, b, whole = first(part), second(part[1:]), part.encode()
-            if any(b"".join(map(side.bytes.__getitem__, ids)) != whole for side, ids in ((first, a), (second, b))):
+            both, whole = (np.array(first(part), np.int32), np.array(second(part[1:]), np.int32)), np.frombuffer(part.encode(), np.uint8)
+            if not all(self._gives_back(side, ids, whole) for side, ids in enumerate(both)):
                 return []
-            out.append((np.array(a, np.int32), np.array(b, np.int32)))
+            out.append(both)
         return out
 
+    def _gives_back(self, side: int, ids: np.ndarray, whole: np.ndarray) -> bool:
+        """Whether the bytes of the tokens, put together, are these."""
+        widths = self.widths[side][ids]
+        if int(widths.sum()) != len(whole):
+            return False
+        at = np.arange(len(whole), dtype=np.int32) + np.repeat(self.starts[side][ids] - (np.cumsum(widths, dtype=np.int32) - widths), widths)
+        return bool((self.flat[side][at] == whole).all())
+
     def add(self, doc: Open, text: str) -> None:
         parts = self.tokens(text)
         doc.tokens = (sum(len(a) for a, _ in parts), sum(len(b) for _, b in parts))
@@ -192,7 +193,7 @@ class Joiner:
         parts = [w[1 + side] for w in self.waiting]
         ids = np.concatenate(parts)
         widths = self.widths[side][ids]
-        stop = np.cumsum(widths)
+        stop = np.cumsum(widths, dtype=np.int32)
         return pa.table({"doc": np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts]), "id": ids, "start": stop - widths, "stop": stop})
 
     def join(self) -> None:

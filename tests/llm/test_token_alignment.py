@@ -107,7 +107,6 @@ def test_random_texts_cut_into_chunks_equal_whole_ones(plain, monkeypatch):
         parts = ta.chunks(text, 5)
         assert "".join(parts) == " " + text
         assert [k for p in parts for k in first(p)] == first(" " + text)
-        assert second(text) == second.model.encode(text)
         if "▁" not in text:
             assert [k for p in parts for k in second(p[1:])] == second(text)
 
