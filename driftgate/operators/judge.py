@@ -1,16 +1,19 @@
 """A model as judge of what the checks leave open: its prompt and its reply, both as expressions.
 
-The call itself is a replay over the residual cases (``verdict.residual``): ``prompts`` gives the
-table that ``replay.replay`` takes, ``replies`` reads what comes back, and
-``verdict.with_judgements`` joins it. A reply that can't be read abstains; it never passes a case.
+``judged`` is the whole way from checked cases to verdicts: the residual ones (``verdict.residual``) become ``prompts``,
+a ledger makes the calls that it lacks, ``replies`` reads what comes back, and ``verdict.with_judgements`` joins it.
+A reply that can't be read abstains; it never passes a case.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgate.functions import jsonfacts
+from driftgate.operators import ledger, replay, verdict
 
 #: Verdicts that a judge can give, and characters of a part that it is shown.
 VERDICTS = ("equivalent", "acceptable", "broken")
@@ -58,3 +61,15 @@ def replies(answers: DataFrame, reply: str = "cand_text") -> DataFrame:
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(get("confidence", "double"), F.lit(1.0))))
     note = F.when(verdict.isNull(), "judge gave no verdict").otherwise(F.substring(F.coalesce(get("rationale", "string"), F.lit("")), 1, NOTE))
     return read.select("case_id", verdict.alias("verdict"), sure.alias("confidence"), note.alias("note"))
+
+
+def judged(checked: DataFrame, provider: Callable[[], replay.Provider], model: str, path: str, request: str = "prompt", **options) -> DataFrame:
+    """Verdicts of checked cases, the open ones settled by a model whose calls are kept in the ledger at ``path``.
+
+    Only residual cases are asked about; a call that fails or says nothing leaves its case unverified,
+    with the reason as note. ``options`` are those of ``ledger.call``.
+    """
+    answers = ledger.call(prompts(verdict.residual(checked), request), provider, model, path, **options)
+    said = replies(answers).join(answers.select("case_id", "error"), "case_id")
+    note = F.when(F.col("error").isNotNull(), F.concat(F.lit("judge unavailable: "), F.substring("error", 1, NOTE))).otherwise(F.col("note"))
+    return verdict.classify(verdict.with_judgements(checked, said.select("case_id", "verdict", "confidence", note.alias("note"))))

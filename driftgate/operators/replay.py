@@ -1,7 +1,7 @@
 """Replay: candidates from a provider, one call a case, with bounded retries inside the task.
 
-A paid call must not be repeated: write the result before branching from it, and take the cases
-that are still missing by ``remaining``. Concurrency is the number of partitions.
+Where a call is paid for and must not be repeated, ``ledger.call`` keeps its result; otherwise write the result before
+branching from it, and take the cases that are still missing by ``remaining``. Concurrency is the number of partitions.
 """
 
 from __future__ import annotations
@@ -47,6 +47,26 @@ def delays(attempts: int, base: float, cap: float, seed: int) -> Iterator[float]
         yield rng.uniform(0, min(cap, base * 2**k))
 
 
+def attempt(client: Provider, case_id: str, prompt: str, retries: int, base: float, cap: float, before_retry: Callable[[], None] | None = None) -> tuple[str | None, str | None, int, int]:
+    """Reply, error, attempts and milliseconds of one case; a transient failure is tried again."""
+    began = time.monotonic()
+    waits, text, error, tried = delays(retries, base, cap, zlib.crc32(str(case_id).encode())), None, None, 0
+    while True:
+        tried += 1
+        try:
+            text, error = client.complete(case_id, prompt), None
+        except Transient as e:
+            error = str(e)
+            if (wait := next(waits, None)) is not None:
+                time.sleep(wait)
+                if before_retry:
+                    before_retry()
+                continue
+        except Exception as e:  # noqa: BLE001
+            error = f"{type(e).__name__}: {e}"
+        return text, error, tried, int(1000 * (time.monotonic() - began))
+
+
 def replay(cases: DataFrame, provider: Callable[[], Provider], retries: int = 2, base: float = 1.0, cap: float = 30.0) -> DataFrame:
     """case_id, cand_text, cand_finish, error, attempts, duration_ms of cases (case_id, prompt); errors are rows, never failures."""
 
@@ -55,21 +75,8 @@ def replay(cases: DataFrame, provider: Callable[[], Provider], retries: int = 2,
         for batch in batches:
             rows = []
             for case_id, prompt in zip(batch["case_id"], batch["prompt"], strict=True):
-                began = time.monotonic()
-                waits, text, error, tried = delays(retries, base, cap, zlib.crc32(str(case_id).encode())), None, None, 0
-                while True:
-                    tried += 1
-                    try:
-                        text, error = client.complete(case_id, prompt), None
-                    except Transient as e:
-                        error = str(e)
-                        if (wait := next(waits, None)) is not None:
-                            time.sleep(wait)
-                            continue
-                    except Exception as e:  # noqa: BLE001
-                        error = f"{type(e).__name__}: {e}"
-                    break
-                rows.append((case_id, text, None if text is None else "stop", error, tried, int(1000 * (time.monotonic() - began))))
+                text, error, tried, took = attempt(client, case_id, prompt, retries, base, cap)
+                rows.append((case_id, text, None if text is None else "stop", error, tried, took))
             yield pd.DataFrame(rows, columns=["case_id", "cand_text", "cand_finish", "error", "attempts", "duration_ms"])
 
     return cases.select("case_id", "prompt").mapInPandas(run, SCHEMA)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgate.operators import accept, baseline, checks, diff, verdict
+from driftgate.operators import accept, baseline, checks, diff, judge, ledger, verdict
 from driftgate.plans import views
 
 
@@ -80,6 +80,21 @@ def judged_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.classify(verdict.with_judgements(checked, judge)).groupBy("verdict").agg(F.count(F.lit(1)).alias("cases"))
 
 
+class _Judge:
+    """A judge without a model: accepts what says that it was only reworded."""
+
+    def complete(self, case_id: str, prompt: str) -> str:
+        word = "acceptable" if "<second>\nRephrased: " in prompt else "broken"
+        return f'{{"verdict": "{word}", "confidence": 0.9, "rationale": "as it says"}}'
+
+
+def judged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open cases go to a judge through a ledger of calls; verdict and reason of every case."""
+    checked = checks.evaluate(views.text_pairs(spark, sf_dir), json=False)
+    found = judge.judged(checked, _Judge, "scripted", ledger.shared_path(spark, "judge-ledger"), buckets=8, commit_every=200)
+    return found.select("case_id", "verdict", F.coalesce("judge_note", F.lit("")).alias("note"))
+
+
 def accept_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accept.plan(outcomes(spark, sf_dir), views.baseline(spark, sf_dir)).select("case_id", "action")
 
@@ -131,6 +146,7 @@ QUERIES = {
     "review_topk": review_topk,
     "tag_filter_limit": tag_filter_limit,
     "judged_verdicts": judged_verdicts,
+    "judged_calls": judged_calls,
     "check_empty_output": one_check("empty_output"),
     "check_truncation": one_check("truncation"),
     "check_refusal": one_check("refusal"),
@@ -181,6 +197,7 @@ UNION ALL SELECT case_id, 'mentions', CASE WHEN contains(cand_text, 'the') THEN
     "worst_verdict": f"{_O} SELECT conv_id, ['equivalent','acceptable','unverified','broken','error'][max({_RANK})] AS worst FROM outcomes GROUP BY conv_id",
     "review_topk": f"{_O} SELECT case_id, verdict FROM outcomes WHERE verdict <> 'equivalent' ORDER BY {_RANK} DESC, case_id LIMIT 25",
     "tag_filter_limit": f"{_T} SELECT case_id, position FROM pairs WHERE list_has_any(tags, ['turn1', 'long']) ORDER BY position LIMIT 40",
+    "judged_calls": f"{_O} SELECT case_id, CASE WHEN verdict <> 'unverified' THEN verdict WHEN mutation = 'reword' THEN 'acceptable' ELSE 'broken' END AS verdict, CASE verdict WHEN 'unverified' THEN 'as it says' ELSE '' END AS note FROM outcomes",
     "judged_verdicts": f"{_O} SELECT CASE WHEN verdict = 'unverified' AND (conv_id % 10) / 10.0 >= 0.34 THEN CASE WHEN mutation = 'reword' THEN 'acceptable' ELSE 'broken' END ELSE verdict END AS verdict, count(*) AS cases FROM outcomes GROUP BY 1",
     "check_empty_output": _one_check_sql("c_empty"),
     "check_truncation": _one_check_sql("c_cut"),
