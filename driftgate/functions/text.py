@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,11 +34,27 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that full case folding changes: those that become one character, and those that become several."""
+    changed = {chr(k): chr(k).casefold() for k in range(0x110000) if chr(k).casefold() != chr(k)}
+    return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def folded(text: Column) -> Column:
+    """Full case folding of Unicode: one pass over a table, and one more where a character becomes several."""
+    single, several = _folds()
+    passed = F.translate(text, "".join(single), "".join(single.values()))
+    longer = F.map_from_arrays(F.split(F.lit(" ".join(several)), " "), F.split(F.lit(" ".join(several.values())), " "))
+    each = F.array_join(F.transform(F.split(passed, ""), lambda c: F.coalesce(F.try_element_at(longer, c), c)), "")
+    return F.when(passed.rlike("[" + "".join(several) + "]"), each).otherwise(passed)
+
+
 def normalised(text: Column, ignore_whitespace: bool = True, ignore_case: bool = False) -> Column:
-    """Text for comparison: spaces collapsed, and lower-cased if asked."""
+    """Text for comparison: spaces collapsed, and case-folded if asked."""
     if ignore_whitespace:
         text = F.regexp_replace(stripped(text), f"{SPACE}+", " ")
-    return F.lower(F.replace(text, F.lit("ß"), F.lit("ss"))) if ignore_case else text
+    return folded(text) if ignore_case else text
 
 
 def refusal_phrase(trimmed: Column, patterns: tuple[str, ...] = REFUSALS) -> Column:
