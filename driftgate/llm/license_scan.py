@@ -43,6 +43,8 @@ from driftgate.llm.work import attach, slices, stored, table
 
 LEAST, LEAST_WHOLE, OF_FILE = 0.55, 0.8, 0.3
 PIECE = 50_000
+#: Windows that are weighed one by one without a look at the cosines of all.
+FEW = 8
 #: Names of licence files.
 NAMED = r"(?i)(^|/)([^/]*[-_.])?(un)?(licen[cs]es?|copying)(\.lesser|\.lib)?(-[a-z0-9+]+(\.[0-9]+)*)*(\.(txt|md|rst|html?))?$"
 #: Notices by which files are put under a licence.
@@ -173,11 +175,12 @@ class Weights:
             for size in LENGTHS:  # every window; those at the end of the text are cut off there
                 ends = np.minimum(starts + size, len(near))
                 product, square = (products[ends] - products[starts]).max(1), squares[ends] - squares[starts]
-                if (product / np.sqrt(square)).max() < max(LEAST, most) - 1e-9:
-                    continue
-                cosines = product / np.sqrt(square + 2 * _pairs(own_kinds, self.square[near], ends, size))
+                hits = np.flatnonzero(product / np.sqrt(square) >= max(LEAST, most) - 1e-9)
+                if len(hits) > FEW:
+                    cosines = (product / np.sqrt(square + 2 * _pairs(own_kinds, self.square[near], ends, size)))[hits]
+                    hits = hits[cosines >= max(LEAST, most, cosines.max()) - 1e-9]
                 seen = set()
-                for start in np.flatnonzero(cosines >= max(LEAST, most, cosines.max()) - 1e-9).tolist():
+                for start in hits.tolist():
                     words = np.sort(own_kinds[start : start + size]).tobytes()
                     if words in seen:  # the same cosine, further behind
                         continue
