@@ -38,7 +38,7 @@ from driftgate.llm.packing import BYTE_SIGNS, PLAIN
 from driftgate.llm.work import attach, held, slices, stored, table
 
 #: Characters of a chunk of a long text, and bytes whose tokens DuckDB joins at a time.
-CHUNK, SLICE_BYTES = 100_000, 500_000
+CHUNK, SLICE_BYTES = 100_000, 750_000
 #: Pairs of ids whose counts are broadcast, 24 bytes each; beyond that they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Where a text may be cut.
