@@ -166,7 +166,8 @@ def _named(diff: Column) -> Column:
 def results(s: Settings) -> dict[str, Check]:
     """Every check, over a pair with its facts."""
     b, c = F.col("base_text"), F.col("cand_text")
-    base, cand = F.col("base_facts"), F.col("cand_facts")
+    # facts are null where a text isn't JSON
+    base, cand = ({n: F.col(f"{x}_{n}") for n in jsonfacts.FACTS} for x in ("base", "cand"))
     out: dict[str, Check] = {}
     out["empty_output"] = Check(_status((_empty("base"), "skip"), (_empty("cand"), "fail")), message="nothing came back where there was content before")
     cut = _status((~text.was_cut_off(F.col("cand_finish")), "pass"), (text.was_cut_off(F.col("base_finish")), "skip"), otherwise="fail")
@@ -183,15 +184,16 @@ def results(s: Settings) -> dict[str, Check]:
         message=F.when(~cand["is_json"], "the candidate is not JSON, so the schema can't hold").otherwise(F.concat(F.lit("schema: "), problem)),
     )
     declared = F.col("expect_fields").isNotNull()
-    expected = F.coalesce(F.array_distinct("expect_fields"), base["fields"])
-    missing, added = F.array_sort(F.array_except(expected, cand["fields"])), F.array_sort(F.array_except(cand["fields"], expected))
-    unasked = ~declared & (F.lit(not s.infer_fields) | ~base["is_json"])
-    other = ~cand["is_json"] | (F.size(missing) > 0) | (F.size(added) > 0)
+    none = F.array().cast("array<string>")
+    expected, found, no_json = F.coalesce(F.array_distinct("expect_fields"), base["fields"], none), F.coalesce(cand["fields"], none), cand["fields"].isNull()
+    missing, added = F.array_sort(F.array_except(expected, found)), F.array_sort(F.array_except(found, expected))
+    unasked = ~declared & (F.lit(not s.infer_fields) | base["fields"].isNull())
+    other = no_json | (F.size(missing) > 0) | (F.size(added) > 0)
     some = lambda label, names: F.concat(F.lit(label), F.array_join(F.slice(names, 1, 10), ", "))
     out["required_fields"] = Check(
         _status((unasked, "skip"), (F.size(expected) == 0, "skip"), (other, "fail")),
-        severity=F.when(cand["is_json"] & (F.size(missing) == 0), "warning").otherwise("blocking"),
-        message=F.when(~cand["is_json"], "the candidate is not JSON, so no field can be there").when(F.size(missing) > 0, some("fields gone: ", missing)).otherwise(some("fields that are new: ", added)),
+        severity=F.when(~no_json & (F.size(missing) == 0), "warning").otherwise("blocking"),
+        message=F.when(no_json, "the candidate is not JSON, so no field can be there").when(F.size(missing) > 0, some("fields gone: ", missing)).otherwise(some("fields that are new: ", added)),
         evidence=F.to_json(F.struct(missing.alias("missing"), added.alias("added"))),
     )
     wanted = F.coalesce(F.col("expect_tools"), _tool_names("base") if s.infer_tools else F.array().cast("array<string>"))
@@ -213,7 +215,7 @@ def results(s: Settings) -> dict[str, Check]:
     tolerance = F.coalesce("expect_numbers", F.lit(s.numeric_tolerance).cast("double"))
     shared = F.filter(F.map_entries(base["numbers"]), lambda x: F.map_contains_key(cand["numbers"], x["key"]))
     moved = F.filter(shared, lambda x: ~text.within(x["value"], cand["numbers"][x["key"]], tolerance))
-    numberless = tolerance.isNull() | (tolerance < 0) | ~base["is_json"] | ~cand["is_json"] | (F.size(base["numbers"]) == 0)
+    numberless = tolerance.isNull() | (tolerance < 0) | base["numbers"].isNull() | cand["numbers"].isNull() | (F.size(base["numbers"]) == 0)
     out["numeric_tolerance"] = Check(
         _status((numberless, "skip"), (F.size(moved) > 0, "fail")),
         message="numbers moved beyond the tolerance",
@@ -227,20 +229,22 @@ def results(s: Settings) -> dict[str, Check]:
 
 
 def with_facts(pairs: DataFrame, settings: Settings, json: bool = True) -> DataFrame:
-    """Facts that need more than an expression; without ``json`` no Python runs at all."""
+    """Facts that need more than an expression, a column each and together; without ``json`` no Python runs at all."""
     pairs = completed(pairs)
     trim = {f"{x}_trim": text.stripped(F.coalesce(F.col(f"{x}_text"), F.lit(""))) for x in ("base", "cand")}
     pairs = pairs.withColumns(trim)
     norms = {f"{x}_norm": text.normalised(F.col(f"{x}_trim"), settings.ignore_whitespace, settings.ignore_case) for x in ("base", "cand")}
     pairs = pairs.withColumns(norms | {f"{x}_refusal": text.refusal_phrase(F.col(f"{x}_trim"), settings.refusals) for x in ("base", "cand")})
+    sides = {x: {n: F.col(f"{x}_{n}") for n in jsonfacts.FACTS} for x in ("base", "cand")}
     if not json:
-        none = F.struct(F.lit(False).alias("is_json"), F.array().cast("array<string>").alias("fields"), F.lit(None).cast("map<string,double>").alias("numbers"), F.lit(None).cast("map<string,string>").alias("leaves"))
-        return pairs.withColumns({"base_facts": none, "cand_facts": none, "schema_problem": F.lit(None).cast("string"), "pattern_result": F.lit(None).cast("string")})
-    schema = F.coalesce("expect_schema", F.get_json_object("response_format", "$.json_schema.schema"))
-    return pairs.withColumns({
-        "base_facts": jsonfacts.facts(F.col("base_text")), "cand_facts": jsonfacts.facts(F.col("cand_text")),
-        "schema_problem": jsonfacts.schema_problem(F.col("cand_text"), schema), "pattern_result": jsonfacts.pattern_result(F.col("cand_text"), F.col("expect_regex")),
-    })
+        pairs = pairs.withColumns({f"{x}_{n}": F.lit(None).cast(t) for x in sides for n, t in jsonfacts.KINDS.items()} | {"schema_problem": F.lit(None).cast("string"), "pattern_result": F.lit(None).cast("string")})
+    else:
+        schema = F.coalesce("expect_schema", F.get_json_object("response_format", "$.json_schema.schema"))
+        pairs = pairs.withColumns({
+            **{f"{x}_{n}": f(F.col(f"{x}_text")) for x in sides for n, f in jsonfacts.FACTS.items()},
+            "schema_problem": jsonfacts.schema_problem(F.col("cand_text"), schema), "pattern_result": jsonfacts.pattern_result(F.col("cand_text"), F.col("expect_regex")),
+        })
+    return pairs.withColumns({f"{x}_facts": jsonfacts.gathered(columns) for x, columns in sides.items()})
 
 
 #: Checks of prose outputs, for which those on JSON, schemas and formats would all be skipped.
@@ -269,4 +273,4 @@ def evaluate(pairs: DataFrame, settings: Settings | None = None, json: bool = Tr
     kept = F.filter(run, lambda x: ~F.coalesce(F.array_contains(F.col("skip_checks"), x["check"]), F.lit(False)))
     if s.warnings_break:
         kept = F.transform(kept, lambda x: x.withField("severity", F.when(x["severity"] == "warning", "blocking").otherwise(x["severity"])))
-    return rows.withColumn("checks", kept).drop(*(f"{k}_{n}" for n in every for k in "sh"))
+    return rows.withColumn("checks", kept).drop(*(f"{k}_{n}" for n in every for k in "sh"), *(f"{x}_{n}" for x in ("base", "cand") for n in jsonfacts.FACTS))

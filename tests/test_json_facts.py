@@ -1,12 +1,14 @@
 import json
 import math
+import re
 
 from pyspark.sql import functions as F
 
 from driftgate import queries
 from driftgate.functions import jsonfacts
-from driftgate.operators import diff
+from driftgate.operators import checks, diff
 
+SMALL = "/root/testdata/sf0.001"
 EVENT = "event_id long, user_id long, event_type string, value double, props string"
 
 
@@ -88,3 +90,14 @@ def _double(text):
         return float(text)
     except ValueError:
         return None
+
+
+def _functions(spark, name: str, folder: str) -> list[str]:
+    """Python functions in the plan of a query, one entry for each call."""
+    plan = queries.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    return sorted(re.findall(r"\b(reads|fields|numbers|leaves|listed|schema_problem|pattern_result|changed_leaves)\((?:concat|CASE|base_text|cand_text)", plan))
+
+
+def test_field_paths_walks_each_document_once(spark):
+    """A condition on the exploded paths, pushed below, walked each document twice."""
+    assert _functions(spark, "field_paths", SMALL) == ["fields", "fields"]
