@@ -101,3 +101,7 @@ def _functions(spark, name: str, folder: str) -> list[str]:
 def test_field_paths_walks_each_document_once(spark):
     """A condition on the exploded paths, pushed below, walked each document twice."""
     assert _functions(spark, "field_paths", SMALL) == ["fields", "fields"]
+
+
+def test_numeric_tolerance_looks_for_numbers_alone(spark):
+    assert _functions(spark, "check_numeric_tolerance", SMALL) == ["numbers", "numbers"]
