@@ -105,3 +105,18 @@ def test_field_paths_walks_each_document_once(spark):
 
 def test_numeric_tolerance_looks_for_numbers_alone(spark):
     assert _functions(spark, "check_numeric_tolerance", SMALL) == ["numbers", "numbers"]
+
+
+def test_json_parse_only_parses(spark):
+    assert _functions(spark, "check_json_parse", SMALL) == ["reads", "reads"]
+    assert _functions(spark, "check_required_fields", SMALL) == ["fields", "fields"]
+
+
+def test_facts_and_evidence_without_json(spark):
+    """Facts in one struct are empty, not null, where a text isn't JSON, and so is the evidence of missing fields."""
+    pairs = spark.createDataFrame([("a", '{"x":1}', "no"), ("b", "no", "no")], "case_id string, base_text string, cand_text string")
+    rows = checks.evaluate(pairs).orderBy("case_id").collect()
+    assert [tuple(r.cand_facts) for r in rows] == [(False, [], {}, {})] * 2 and tuple(rows[0].base_facts) == (True, ["x"], {"x": 1.0}, {"x": "1"})
+    found = {c.check: c for c in rows[0].checks}["required_fields"]
+    assert (found.status, found.severity, found.evidence) == ("fail", "blocking", '{"missing":["x"],"added":[]}')
+    assert {c.check: c.status for c in rows[1].checks}["required_fields"] == "skip"
