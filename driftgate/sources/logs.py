@@ -227,11 +227,15 @@ def _guard() -> Column:
     return F.when(F.octet_length("value") > MOST_LINE_BYTES, "line too large").when(jsonfacts.deeper_than(F.col("value"), MOST_DEPTH), "JSON too deep")
 
 
-def _strict() -> Column:
-    """The record of a line: an array around it must have one element, and it must fit into an object, so junk behind it can't hide."""
-    whole = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
-    alone = F.try_variant_get(whole, F.lit("$[1]"), "variant").isNull() & F.try_parse_json(F.concat(F.lit('{"v":'), "value", F.lit("}"))).isNotNull()
-    return F.when(F.col("guard").isNull() & alone, F.try_variant_get(whole, F.lit("$[0]"), "variant"))
+def _strict(rows: DataFrame) -> DataFrame:
+    """``v``, the record of a line: an array around it must have one element, and it must fit into an object, so junk behind it can't hide.
+
+    The array is a column of its own, so that it is parsed once.
+    """
+    whole = F.when(F.col("guard").isNull(), F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))))
+    element = lambda k: F.try_variant_get("v", F.lit(f"$[{k}]"), "variant")
+    alone = element(1).isNull() & F.try_parse_json(F.concat(F.lit('{"v":'), "value", F.lit("}"))).isNotNull()
+    return rows.withColumn("v", whole).withColumn("v", F.when(alone, element(0)))
 
 
 def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -239,7 +243,7 @@ def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
 
     A record's shape is found first, and only the fields of that shape are looked for.
     """
-    rows = lines.withColumnRenamed(value, "value").withColumn("guard", _guard()).withColumn("v", _strict()).withColumn("shape", _shape())
+    rows = _strict(lines.withColumnRenamed(value, "value").withColumn("guard", _guard())).withColumn("shape", _shape())
     made = {s: _case(s) for s in _REQUEST}
     case = F.coalesce(*(F.when(F.col("shape") == shape, struct) for shape, struct in made.items()))
     # a generator of one row: what is asked of the case's fields stays above the expressions behind them,

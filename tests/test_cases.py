@@ -131,3 +131,11 @@ def test_depth_of_texts(spark):
     texts = ["", "1", "[]", "[[],[[]]]", '{"a":"]]]"}', '"\\""', "[" * 70 + "]" * 70, "]" * 100 + "[" * 66]
     got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(jsonfacts.deeper_than(F.col("t"), 2), jsonfacts.deeper_than(F.col("t"), 64)).collect()
     assert [tuple(r) for r in got] == [(False, False)] * 3 + [(True, False), (False, False), (False, False), (True, True), (False, False)]
+
+
+def test_lines_are_parsed_once_as_an_array(spark):
+    """The array around a line was parsed for its second element and again for its first."""
+    lines = spark.createDataFrame([(1, '{"messages":[{"role":"user","content":"a"}],"completion":"b"}'), (2, '{"a":1},{"b":2}'), (3, '{"a":1}],[2'), (4, "no")], "position int, value string")
+    found = logs.parsed(lines)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson(concat([, value") == 1
+    assert {r.position: r.reason for r in found.select("position", "reason").collect()} == {1: None, 2: "not JSON", 3: "not JSON", 4: "not JSON"}
